@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import tokens
+from . import tokens, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_sentencepiece": tokens.op5_sentencepiece,
     "op10_token_counts": tokens.op10_token_counts,
 }
