@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import tokens, toxicity
+from . import sharding, tokens, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_sharding": sharding.op4_sharding,
     "op5_sentencepiece": tokens.op5_sentencepiece,
     "op10_token_counts": tokens.op10_token_counts,
 }
