@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import sharding, tokens, toxicity
+from . import decontaminate, sharding, tokens, toxicity, url_filter
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
     "op5_sentencepiece": tokens.op5_sentencepiece,
+    "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op10_token_counts": tokens.op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_decontamination": decontaminate.ORACLE}
