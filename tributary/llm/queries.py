@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding, tokens, toxicity, url_filter
+from . import decontaminate, fingerprints, sharding, tokens, toxicity, url_filter
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_sentencepiece": tokens.op5_sentencepiece,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_token_counts": tokens.op10_token_counts,
 }
 
