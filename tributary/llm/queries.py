@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, secrets, sharding, tokens, toxicity, url_filter
+from . import decontaminate, fingerprints, near_dup, secrets, sharding, tokens, toxicity, url_filter
 
 QUERIES = {
+    "op1_near_duplicates": near_dup.op1_near_duplicates,
     "op2_secrets": secrets.op2_secrets,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
