@@ -79,6 +79,12 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     return counted.where("n_shared >= least").select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"), F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item. Rows with a null doc_id can't be reported, so they stay."""
+    found = written(contained_items(docs, benchmark, threshold).select("doc_id").distinct(), "contaminated")
+    return docs.join(_small(found), "doc_id", "left_anti").select(docs.columns)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

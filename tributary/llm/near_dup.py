@@ -216,5 +216,21 @@ def _sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, members: DataFra
     return written(found.dropDuplicates(["cls"]), "shingle-sets")
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when one document of each group of near duplicates does: the one of smallest doc_id.
+
+    Of rows that repeat both doc_id and text one stays. Where rows of different texts share a doc_id, all stay if one does. Null doc_ids stay.
+    """
+    found = written(near_duplicates(docs, words, percent), "near-duplicates")
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    out = docs.join(_small(gone.where("NOT kept").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    repeated = gone.where("kept AND rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return out
+    # these rows alone are compared by text
+    repeated = _small(repeated)
+    return out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)

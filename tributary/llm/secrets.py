@@ -253,8 +253,11 @@ def scan(docs: DataFrame, automata: dict[str, Automaton], key: str = "doc_id", t
     return docs.select(key, text).mapInArrow(run, f"{key} long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long")
 
 
-def redact(docs: DataFrame, automata: dict[str, Automaton], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """All rows and columns of docs, every span of the text replaced by the mark (overlapping spans by one). Texts without spans are untouched."""
+def redact(docs: DataFrame, automata: dict[str, Automaton], text: str = "text", length: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+    """All rows and columns of docs, every span of the text replaced by the mark (overlapping spans by one). Texts without spans are untouched.
+
+    Where a text changes, its number of characters is set anew in the column `length`, if there is one.
+    """
 
     def run(batches):
         scanner = Scanner(automata)
@@ -272,6 +275,12 @@ def redact(docs: DataFrame, automata: dict[str, Automaton], text: str = "text",
                         last = max(last, e)
                     values[i] = "".join(out) + values[i][last:]
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+                if length in batch.schema.names:
+                    at = batch.schema.names.index(length)
+                    sizes = batch.column(at).to_pylist()
+                    for i in found:
+                        sizes[i] = len(values[i])
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
             yield batch
 
     return docs.mapInArrow(run, docs.schema)

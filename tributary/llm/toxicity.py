@@ -196,6 +196,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     return docs.mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index(text)).to_pylist()
+            yield batch.filter(pa.array([model.score(x or "") < threshold for x in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
