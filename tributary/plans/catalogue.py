@@ -1,6 +1,24 @@
-"""Named driver queries and the DuckDB SQL that gives the same rows."""
+"""Named driver queries and the DuckDB SQL that gives the same rows.
+
+Queries whose measure SQL can't express have no SQL; tests hold them against small independent specifications.
+"""
 
 from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query, with its SQL where there is one."""
+
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+from . import decision_queries  # noqa: E402,F401
