@@ -72,13 +72,16 @@ def canonical(token: Column, values: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(literal_map(values), token), token)
 
 
-def name_tokens(clean: Column, native=None) -> Column:
-    """Canonical tokens of a clean name. native: what turns texts in native scripts into Latin ones, if wanted."""
+def latin(clean: Column, native) -> Column:
+    """Texts in native scripts turned into Latin ones by `native`, if given; others never reach it."""
+    return clean if native is None else F.when(clean.rlike(NATIVE), native(clean)).otherwise(clean)
+
+
+def name_tokens(clean: Column) -> Column:
+    """Canonical tokens of a clean name."""
     out = clean
     for pattern, by in T.NAME_JUNK:
         out = F.regexp_replace(out, UNICODE_WORDS + pattern, by)
-    if native is not None:
-        out = F.when(out.rlike(NATIVE), native(out)).otherwise(out)
     out = F.translate(F.regexp_replace(out, NON_WORD, " "), "_", " ")
     return F.transform(F.filter(F.split(out, " "), lambda t: t != ""), lambda t: canonical(fix_leet(t), T.LEGAL_CANON))
 
@@ -107,16 +110,17 @@ def norm_name(raw: Column, native=None, dotted: bool = False, extra_stop=(), nfk
     clean = basic_clean(raw, nfkc)
     if dotted:
         clean = undot(clean)
+    clean = latin(clean, native)
 
     def of(clean: Column) -> Column:
         padded = F.concat(F.lit(" "), clean, F.lit(" "))
         # Java's split drops nothing here: limit -1 keeps empty parts
-        return let(F.split(padded, T.OTHER_NAME, -1), lambda parts: let(name_tokens(clean, native), lambda tokens: parts_of(parts, tokens)))
+        return let(F.split(padded, T.OTHER_NAME, -1), lambda parts: let(name_tokens(clean), lambda tokens: parts_of(parts, tokens)))
 
     def parts_of(parts: Column, tokens: Column) -> Column:
         several = F.size(parts) > 1
-        first = identity(name_tokens(F.element_at(parts, 1), native), extra_stop)
-        last = identity(name_tokens(F.element_at(parts, -1), native), extra_stop)
+        first = identity(name_tokens(F.element_at(parts, 1)), extra_stop)
+        last = identity(name_tokens(F.element_at(parts, -1)), extra_stop)
         own = identity(tokens, extra_stop)
         core = F.when(several & (F.size(first) > 0), first).when(F.size(own) > 0, own).otherwise(tokens)
         return let(
@@ -149,8 +153,7 @@ def norm_address(raw: Column, native=None, french: bool = False, nfkc: bool = Fa
     """struct(addr, toks, nums, state) of a raw address. french: departments become regions and no two-letter code is read as a state."""
     raw = F.coalesce(raw, F.lit(""))
     clean = basic_clean(departments(raw) if french else raw, nfkc)
-    if native is not None:
-        clean = F.when(clean.rlike(NATIVE), native(clean)).otherwise(clean)
+    clean = latin(clean, native)
     spaced = F.trim(F.regexp_replace(F.translate(clean, "_", " "), r"[^\p{L}\p{N}ऀ-ൿ]+", " "))
     states = literal_map(T.STATES)
 

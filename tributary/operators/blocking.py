@@ -73,7 +73,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int, blocks: int = 4, rank: st
     on k candidates for each record, so no task holds all pairs and none but the best leave it. A record isn't its own neighbour.
     """
 
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["side"] == 1], rows[rows["side"] == 2]
         empty = pd.DataFrame({"id_1": pd.Series(dtype="int64"), "id_2": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(a) or not len(b):
             return empty
@@ -91,9 +92,10 @@ def nearest(left: DataFrame, right: DataFrame, k: int, blocks: int = 4, rank: st
             out.append(found[found["score"] > -np.inf])
         return pd.concat(out) if out else empty
 
-    dealt = right.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    copied = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = copied.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInPandas(block, "id_1 long, id_2 long, score double")
+    side = lambda df, n, at: df.select("part", "id", "vector", F.lit(n).alias("side"), at.alias("block"))
+    dealt = side(right, 2, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    copied = side(left, 1, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = copied.unionByName(dealt).groupBy("part", "block").applyInPandas(block, "id_1 long, id_2 long, score double")
     return best(found, "id_1", "id_2", "score", k, rank)
 
 
