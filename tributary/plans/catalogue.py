@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import decision_queries, record_queries  # noqa: E402,F401
+from . import decision_queries, feature_queries, record_queries  # noqa: E402,F401

@@ -145,7 +145,7 @@ def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def part_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of even and odd parts of one brand and size, as two structs a and b with raw texts."""
     rows = table(spark, sf_dir, "part")
     raw = F.concat(F.col("p_size").cast("string"), F.lit("-0"), (F.col("p_partkey") % 17).cast("string"), F.lit(" "), F.col("p_type"), F.lit(" Road"))
