@@ -37,12 +37,12 @@ def noise_ratio(left: DataFrame, right: DataFrame, min_df: int) -> DataFrame:
 
 
 def learn_dictionary(pairs: DataFrame, min_count: int = 2, min_share: float = 0.5, only: Column | None = None) -> DataFrame:
-    """(source, target): the commonest translation of a word among aligned words of text pairs (a, b) with equally many words, ties by target.
+    """(source, target): the commonest word of a that stands for a word of b, among aligned words of text pairs (a, b) with equally many words, ties by target.
 
     only: a condition on (x, y), the aligned source and target words.
     """
     words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_ऀ-ൿ]+", " "), " "), lambda t: t != "")
-    aligned = pairs.select(words(F.col("b")).alias("y"), words(F.col("a")).alias("x")).where(F.size("x") == F.size("y"))
+    aligned = pairs.select(words(F.col("b")).alias("x"), words(F.col("a")).alias("y")).where(F.size("x") == F.size("y"))
     seen = aligned.select(F.explode(F.arrays_zip("x", "y")).alias("z")).select(F.col("z.x").alias("x"), F.col("z.y").alias("y"))
     if only is not None:
         seen = seen.where(only)

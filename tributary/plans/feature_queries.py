@@ -167,7 +167,7 @@ def density(spark, sf_dir):
     return X.density(pairs, rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
 
 
-_ADDRESSES = "SELECT c_custkey AS id, r_name AS country, c_custkey || ' Main St, ' || CASE WHEN c_custkey % 9 = 0 THEN 'Unit 3' ELSE 'Saint ' || n_name END || ', ' || c_mktsegment AS address FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_ADDRESSES = "SELECT c_custkey AS id, r_name AS country, c_custkey || ' Main St, ' || CASE WHEN c_custkey % 9 = 0 THEN 'Unit 3' ELSE 'Saint ' || c_mktsegment END || ', ' || r_name AS address FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 _PARTS_SQL = f"addr AS (SELECT id, country, list_transform(string_split(address, ','), lambda p: trim(regexp_replace(regexp_replace(lower(p), '\\bsaint\\b', 'st', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS parts FROM ({_ADDRESSES}))"
 _CITY_SQL = f"""{_PARTS_SQL}, spots AS (SELECT id, country, parts, len(parts) AS size, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM addr),
 states AS (SELECT country, part AS state FROM spots WHERE part <> '' GROUP BY ALL HAVING count(*) FILTER (i = size) >= 5 AND count(*) FILTER (i = size) >= 0.5 * count(*)),
@@ -178,8 +178,8 @@ vocab AS (SELECT * FROM cities WHERE (country, city) NOT IN (SELECT (country, st
 def _addresses(spark, sf_dir):
     t = lambda n: I.table(spark, sf_dir, n)
     rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    place = F.when(F.col("c_custkey") % 9 == 0, "Unit 3").otherwise(F.concat(F.lit("Saint "), F.col("n_name")))
-    address = F.concat(F.col("c_custkey").cast("string"), F.lit(" Main St, "), place, F.lit(", "), F.col("c_mktsegment"))
+    place = F.when(F.col("c_custkey") % 9 == 0, "Unit 3").otherwise(F.concat(F.lit("Saint "), F.col("c_mktsegment")))
+    address = F.concat(F.col("c_custkey").cast("string"), F.lit(" Main St, "), place, F.lit(", "), F.col("r_name"))
     return rows.select(F.col("c_custkey").alias("id"), F.col("r_name").alias("country"), N.components(address).alias("parts"))
 
 
