@@ -52,8 +52,9 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     """Per (doc_id, item_id) with containment of at least `threshold`: n_item (distinct shingles of the item), n_shared, containment.
 
     Each row is a document; rows that repeat a doc_id are found one by one and verified together. Null and empty texts, and items or documents of fewer than five words, have no shingles and match
-    nothing. Equal items are reported each. Other columns of either table play no part.
+    nothing; rows with a null doc_id or item_id are left out. Equal items are reported each. Other columns of either table play no part.
     """
+    docs, benchmark = docs.where("doc_id IS NOT NULL"), benchmark.where("item_id IS NOT NULL")
     share = F.lit(str(threshold)).cast("decimal(10,6)")  # decimals: exact bounds at whole multiples
     items = written(
         benchmark.select("item_id", F.explode(shingle_set(F.col("text"))).alias("h")).distinct()

@@ -17,6 +17,10 @@ from pyspark.sql.window import Window
 from .common import drop_written, partitions, table, written
 
 
+#: Rows for each task that differences groups.
+GROUPS = 20_000
+
+
 def difference(partials: list[list[tuple[int, object]]], k: int) -> list[tuple[int, object]]:
     """Combine partial partitions, each a list of at most k (sum, members); members are leaves or pairs of members."""
 
@@ -67,7 +71,8 @@ def shard(docs: DataFrame, shards: int = 24, overhead: int = 8, key: str = "doc_
     # equal texts: 64-bit hash, CRC and length all agree
     rows = docs.select(F.col(key), F.xxhash64(body).alias("h"), F.crc32(body).alias("text_crc32"), (F.octet_length(body) + overhead).cast("long").alias("size"))
     same = ["h", "text_crc32", "size"]
-    tasks = partitions(spark)
+    # one task for each GROUPS rows: with fewer, a task's own differencing would have too few groups to be even
+    tasks = max(1, min(partitions(spark), docs.count() // GROUPS))
     groups = rows.groupBy(*same).agg(F.sum("size").alias("bytes")).withColumn("task", F.pmod(F.col("h"), F.lit(tasks)))
 
     def local(group: pa.Table) -> pa.Table:
@@ -88,7 +93,7 @@ def shard(docs: DataFrame, shards: int = 24, overhead: int = 8, key: str = "doc_
     names = spark.createDataFrame(final, "task long, subset int, shard int")
     placed = rows.join(local_parts.join(F.broadcast(names), ["task", "subset"]).select(*same, "shard"), same)
     # slots without one task for each shard: number the rows of (shard, bucket), then add what stands in earlier buckets
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(tasks)))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(partitions(spark))))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
     number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(key, *same)) - 1
