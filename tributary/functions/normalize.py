@@ -83,7 +83,8 @@ def name_tokens(clean: Column) -> Column:
     for pattern, by in T.NAME_JUNK:
         out = F.regexp_replace(out, UNICODE_WORDS + pattern, by)
     out = F.translate(F.regexp_replace(out, NON_WORD, " "), "_", " ")
-    return F.transform(F.filter(F.split(out, " "), lambda t: t != ""), lambda t: canonical(fix_leet(t), T.LEGAL_CANON))
+    plain = F.transform(F.filter(F.split(out, " "), lambda t: t != ""), fix_leet)
+    return F.transform(plain, lambda t: canonical(t, T.LEGAL_CANON))
 
 
 _MARK = "\x01"

@@ -26,7 +26,7 @@ canon AS (SELECT doc_id, list_transform(w, lambda t: {canon_sql(T.LEGAL_CANON)})
 SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5, array_to_string(list_transform(flatten(list_transform(w, lambda t: regexp_extract_all(t, '[0-9]+'))), lambda n: regexp_replace(n, '^0+([0-9])', '\\1')), ' ') AS nums FROM canon""")
 def tok_normalize(spark, sf_dir):
     docs = I.table(spark, sf_dir, "documents")
-    tokens = F.transform(N.word_tokens(N.basic_clean(F.col("text"))), lambda t: N.canonical(N.fix_leet(t), T.LEGAL_CANON))
+    tokens = F.transform(F.transform(N.word_tokens(N.basic_clean(F.col("text"))), N.fix_leet), lambda t: N.canonical(t, T.LEGAL_CANON))
     out = N.let(tokens, lambda w: F.struct(F.size(w).cast("long").alias("n_tokens"), F.md5(F.array_join(w, " ")).alias("tokens_md5"), F.array_join(N.numbers(w), " ").alias("nums")))
     return docs.select("doc_id", out.alias("o")).select("doc_id", "o.*")
 
