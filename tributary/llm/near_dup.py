@@ -4,9 +4,9 @@ Each document's distinct word shingles give HASHES minima. Bands of full minima
 64-bit words, estimate the similarity of a candidate pair by bit counts, corrected for chance collisions; pairs that may reach the threshold are
 confirmed on the full shingle sets.
 
-Documents with equal sets form one class from the start. In a bucket every class is first compared with one hub only. Of the pairs of classes that
-share a bucket and are still in different components afterwards, all are looked at in a second round, so no link between components is lost, and a
-bucket of thousands of near copies costs a comparison for each, not for each pair.
+Documents with equal sets form one class from the start. A class is first compared with two hubs of its buckets only. Classes of buckets in which more
+than one component is left are then joined exactly, by prefix and position of their rarest shingles, so no link between components is lost, and a bucket
+of thousands of near copies costs a few comparisons for each, not one for each pair.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import as_bytes, blocks, drop_written, mix64, table, word_hashes, written
 from .components import components
@@ -126,10 +127,10 @@ def differing(a: Column, b: Column) -> Column:
     return total
 
 
-def may_link(a: Column, b: Column, threshold: float) -> Column:
-    """Whether the collision-corrected estimate reaches the threshold less MARGIN: low bits agree with chance J + (1 - J) / 2**BITS."""
+def most_differing(threshold: float) -> int:
+    """Largest number of differing minima at which the collision-corrected estimate reaches the threshold less MARGIN: low bits agree with chance J + (1 - J) / 2**BITS."""
     j = threshold - MARGIN
-    return differing(a, b) <= F.lit(round(HASHES * (1 - (j + (1 - j) / (1 << BITS)))))
+    return round(HASHES * (1 - (j + (1 - j) / (1 << BITS))))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,35 +163,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = written(signed(docs, words), "signatures")
     classes = written(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("label"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
     banded = classes.select("cls", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(shared, "band"), "buckets")
 
+    # the hub of a bucket is its member of the largest buckets: in a group of near copies, the text they come from
+    weight = members.groupBy("cls").agg(F.sum("n").alias("weight"))
+    hubs = members.join(weight, "cls").groupBy("band").agg(F.max(F.struct("weight", "cls")).alias("hub"))
+    stars = members.join(hubs, "band").where("cls <> hub.cls").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.weight").alias("weight")).distinct()
     bits = classes.select("cls", "bits")
-    threshold = percent / 100
-
-    def with_bits(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(bits.select(F.col("cls").alias(side), F.col("bits").alias(f"bits_{side}")), side)
-        return pairs.where(may_link(F.col("bits_a"), F.col("bits_b"), threshold)).select("a", "b")
-
-    stars = with_bits(members.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
-    first = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    # texts of all classes that share a bucket with a class they may be linked to
+    for side in ("a", "b"):
+        stars = stars.join(bits.select(F.col("cls").alias(side), F.col("bits").alias(f"bits_{side}")), side)
+    stars = stars.withColumn("d", differing(F.col("bits_a"), F.col("bits_b"))).where(F.col("d") <= most_differing(percent / 100))
+    # a class is tested against the hub of most weight and the most similar one
+    chosen = stars.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("x"), F.min(F.struct("d", "a")).alias("y"))
+    first = written(chosen.select("b", F.explode(F.array_distinct(F.array("x.a", "y.a"))).alias("a")), "pairs")
     sets = _sets(docs, rows, classes, members, words)
     links = written(confirmed(first, sets, percent), "links")
     roots = components(links)
 
-    # second round: pairs of one bucket in different components, each with one side outside the bucket's commonest component
+    # second round: classes in buckets where more than one component is left
     placed = members.select("band", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
-    counts = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("band", F.col("most.root").alias("most"))
-    open_members = written(placed.join(counts, "band").join(bits, "cls").select("band", "cls", "root", "most", "bits"), "open-buckets")
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("cls", "root", "bits")]
-    strays = open_members.where("root <> most").select("band", "most", *side("s"))
-    others = open_members.select("band", *side("o"))
-    crossing = (F.col("root_s") != F.col("root_o")) & ((F.col("root_o") == F.col("most")) | (F.col("cls_s") < F.col("cls_o"))) & may_link(F.col("bits_s"), F.col("bits_o"), threshold)
-    met = strays.join(others, (strays.band == others.band) & crossing).select(F.least("cls_s", "cls_o").alias("a"), F.greatest("cls_s", "cls_o").alias("b")).distinct()
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = written(met.join(tested, ["a", "b"], "left_anti"), "pairs")
+    mixed = placed.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("band")
+    open_classes = written(placed.join(mixed, "band", "left_semi").select("cls", "root").distinct(), "open-classes")
+    second = written(_crossing(open_classes, sets, percent), "pairs")
     if not second.isEmpty():
         more = written(confirmed(second, sets, percent), "links")
         if not more.isEmpty():
@@ -202,11 +197,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = linked.join(smallest, "root").select("cls", "component_id")
     out = rows.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(found, "cls", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    for used in (members, open_members, first, second):
+    for used in (members, open_classes, first, second):
         drop_written(used)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _crossing(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open classes (cls, root) of different roots whose sets may reach the threshold, by prefix and position; none that does is lost.
+
+    Shingles are put in one order, rarest first. Two sets that share enough have their first common shingle so early in both that what follows suffices:
+    a pair meets on such shingles only. Heavily edited copies begin with shingles of their own, so they meet next to nothing.
+    """
+
+    def listed(batches):
+        for batch in batches:
+            values = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64())), batch.column(2)], names=["cls", "shingles", "root"])
+
+    wanted = sets.join(open_classes, "cls").select("cls", "shingles", "root").mapInArrow(listed, "cls long, shingles array<long>, root long")
+    each = wanted.select("cls", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    df = each.groupBy("s").agg(F.count("*").alias("df"))
+    placed = each.join(df, "s").withColumn("at", F.row_number().over(Window.partitionBy("cls").orderBy("df", "s")))
+    # a set of n shingles shares at least percent * n / 100 of them with any linked one; alone in the corpus a shingle brings nobody together
+    prefix = written(placed.where((100 * (F.col("n") - F.col("at") + 1) >= percent * F.col("n")) & (F.col("df") > 1)).select("s", "cls", "root", "n", "at"), "prefixes")
+    x, y = (prefix.select("s", *(F.col(c).alias(f"{c}_{side}") for c in ("cls", "root", "n", "at"))) for side in ("x", "y"))
+    rest = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) + 1
+    may = (F.col("root_x") != F.col("root_y")) & (F.col("cls_x") < F.col("cls_y")) & (rest * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y")))
+    return x.join(y, (x.s == y.s) & may).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct()
+
+
 def _sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """A written table (cls, shingles) of the classes in shared buckets."""
     wanted = members.select("cls").distinct()
