@@ -17,4 +17,4 @@ QUERIES = {
     "op10_token_counts": tokens.op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op7_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op1_near_duplicates": near_dup.ORACLE, "op7_decontamination": decontaminate.ORACLE}
