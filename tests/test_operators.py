@@ -124,3 +124,11 @@ def test_stream_links(spark, tmp_path):
     query = incremental.link_stream(stream, corpus, lambda df, n: got.extend((r.s1_id, r.cand_id) for r in df.collect()), str(tmp_path / "ck"))
     query.awaitTermination(60)
     assert got == [(1, 7)]
+
+
+def test_soft_idf(spark):
+    from tributary.functions.similarity import ratio
+
+    rows = [(1, "acme pharmacy", "acme pharmacie"), (2, "acme", "zzz"), (3, "", "x"), (4, "a b", "a b")]
+    got = {r.key: r.n_soft_idf for r in X.soft_idf(spark.createDataFrame(rows, "key int, core_1 string, core_2 string"), spark.createDataFrame([("acme", 2.0), ("pharmacy", 3.0)], "token string, idf double")).collect()}
+    assert got == {1: pytest.approx((2 + 3 * ratio("pharmacy", "pharmacie") / 100) / 5), 2: 0.0, 3: 0.0, 4: 1.0}

@@ -174,22 +174,22 @@ def fuzzy_features(a: Column, b: Column) -> Column:
     return run(F.struct(*(a[f].alias(f) for f in _FIELDS)), F.struct(*(b[f].alias(f) for f in _FIELDS)))
 
 
-def soft_idf(core_1: Column, core_2: Column, idf: dict[str, float]) -> Column:
-    """Shared weight plus, for a word of the first name that is not shared, its weight times the best ratio with an unshared word of the second, if 80 or more."""
-
-    def row(a: str, b: str) -> float:
-        t1, t2 = set(a.split()), set(b.split())
-        weight = lambda t: idf.get(t, UNKNOWN_IDF)
-        whole = sum(map(weight, t1))
-        if not whole:
-            return 0.0
-        soft = sum(map(weight, t1 & t2))
-        for t in t1 - t2:
-            best = max((S.ratio(t, u) for u in t2 - t1), default=0.0)
-            soft += weight(t) * best / 100 if best >= 80 else 0.0
-        return soft / whole
-
-    return S.measure(row, core_1, core_2)
+def soft_idf(pairs: DataFrame, idf: DataFrame) -> DataFrame:
+    """pairs (key, core_1, core_2) with n_soft_idf: the weight of shared words plus, for each other word of the first name, its weight times its best ratio with
+    an unshared word of the second (80 or more), as a share of the first name's weight. Words outside the table weigh UNKNOWN_IDF.
+    """
+
+    @F.pandas_udf("double")
+    def best(words: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([max((S.ratio(w, o) for o in pool), default=0.0) for w, pool in zip(words, others)], dtype="float64")
+
+    words = lambda c: F.array_distinct(split_words(F.col(c)))
+    each = pairs.select("key", words("core_1").alias("t1"), words("core_2").alias("t2")).select("key", "t1", "t2", F.explode("t1").alias("token"))
+    each = each.select("key", "token", F.array_contains("t2", F.col("token")).alias("shared"), F.array_except("t2", "t1").alias("others"))
+    each = each.join(idf, "token", "left").withColumn("w", F.coalesce("idf", F.lit(UNKNOWN_IDF))).withColumn("best", best("token", "others"))
+    part = F.when(F.col("shared"), F.col("w")).when(F.col("best") >= 80, F.col("w") * F.col("best") / 100).otherwise(0.0)
+    sums = each.groupBy("key").agg((F.sum(part) / F.sum("w")).alias("n_soft_idf"))
+    return pairs.select("key").join(sums, "key", "left").select("key", F.coalesce("n_soft_idf", F.lit(0.0)).alias("n_soft_idf"))
 
 
 LEGAL_RELATIONS = ["none", "same", "drop", "add", "subset", "superset", "diff"]

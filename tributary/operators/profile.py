@@ -27,15 +27,21 @@ def top_tokens(frequency: DataFrame, k: int) -> DataFrame:
     return frequency.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("part", "token", F.col("df").alias("n"))
 
 
+#: Items whose first characters are sent to every task; with more, the windows of all documents shuffle.
+FEW_ITEMS = 10_000
+
+
 def contained(docs: DataFrame, items: DataFrame, width: int = 12) -> DataFrame:
     """(item_id, doc_id) where the item's text is a substring of the document's.
 
-    They meet on the hash of the characters of one window: the item's first `width` characters against every window of the document. Items shorter than
-    that aren't supported. Each document keeps only windows that some item starts with.
+    They meet on the hash of one window: the item's first `width` characters against every window of the document. Items shorter than that aren't supported.
     """
     starts = items.where(F.length("item") >= width).withColumn("h", F.xxhash64(F.substring("item", 1, width)))
     spots = F.when(F.length("text") >= width, F.sequence(F.lit(1), F.length("text") - (width - 1)))
-    windows = docs.select("doc_id", "text", F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(width))))).alias("hs"))
-    wanted = starts.agg(F.collect_set("h").alias("wanted"))  # one row; items are few against documents
-    hits = windows.join(F.broadcast(wanted)).select("doc_id", "text", F.explode(F.array_intersect("hs", "wanted")).alias("h"))
+    hashes = F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(width)))))
+    few = starts.count() <= FEW_ITEMS
+    wanted = starts.select("h").distinct()
+    # with few items a document keeps only the windows that some item starts with
+    kept = F.array_intersect(hashes, F.array(*(F.lit(r.h) for r in wanted.collect()))) if few else hashes
+    hits = docs.select("doc_id", "text", F.explode(kept).alias("h")) if few else docs.select("doc_id", F.explode(kept).alias("h")).join(wanted, "h", "left_semi").join(docs.select("doc_id", "text"), "doc_id")
     return hits.join(starts, "h").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id").distinct()
