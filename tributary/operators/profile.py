@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.normalize import let
+
 
 def profile_texts(docs: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """Numbers of rows, of empty and of distinct texts, and lengths, for each group."""
@@ -27,21 +29,32 @@ def top_tokens(frequency: DataFrame, k: int) -> DataFrame:
     return frequency.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("part", "token", F.col("df").alias("n"))
 
 
-#: Items whose first characters are sent to every task; with more, the windows of all documents shuffle.
+#: Items whose word windows are sent to every task; with more, the windows of all documents shuffle.
 FEW_ITEMS = 10_000
+WINDOW = 4
+
+
+def _word_windows(text: Column) -> Column:
+    """Hashes of all runs of WINDOW words, cut at white space, in order."""
+    hashed = F.transform(F.split(text, r"\s+", -1), lambda w: F.xxhash64(w))
+    return let(
+        hashed,
+        lambda h: F.when(F.size(h) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>")),
+    )
 
 
-def contained(docs: DataFrame, items: DataFrame, width: int = 12) -> DataFrame:
-    """(item_id, doc_id) where the item's text is a substring of the document's.
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id) where the item's text is a substring of the document's; items need WINDOW + 2 words.
 
-    They meet on the hash of one window: the item's first `width` characters against every window of the document. Items shorter than that aren't supported.
+    They meet on the hash of the item's second to fifth word: inside the item these stand between white space, so a document that holds the item has the same
+    run of words. Then texts are compared.
     """
-    starts = items.where(F.length("item") >= width).withColumn("h", F.xxhash64(F.substring("item", 1, width)))
-    spots = F.when(F.length("text") >= width, F.sequence(F.lit(1), F.length("text") - (width - 1)))
-    hashes = F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(width)))))
-    few = starts.count() <= FEW_ITEMS
+    starts = items.where(F.size(F.split("item", r"\s+", -1)) >= WINDOW + 2).withColumn("h", F.get(_word_windows(F.col("item")), F.lit(1)))
     wanted = starts.select("h").distinct()
-    # with few items a document keeps only the windows that some item starts with
-    kept = F.array_intersect(hashes, F.array(*(F.lit(r.h) for r in wanted.collect()))) if few else hashes
-    hits = docs.select("doc_id", "text", F.explode(kept).alias("h")) if few else docs.select("doc_id", F.explode(kept).alias("h")).join(wanted, "h", "left_semi").join(docs.select("doc_id", "text"), "doc_id")
+    hashes = F.array_distinct(_word_windows(F.col("text")))
+    if starts.count() <= FEW_ITEMS:
+        kept = F.array_intersect(hashes, F.array(*(F.lit(r.h) for r in wanted.collect())).cast("array<bigint>"))
+        hits = docs.select("doc_id", "text", F.explode(kept).alias("h"))
+    else:
+        hits = docs.select("doc_id", F.explode(hashes).alias("h")).join(wanted, "h", "left_semi").join(docs.select("doc_id", "text"), "doc_id")
     return hits.join(starts, "h").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id").distinct()

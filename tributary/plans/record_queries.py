@@ -209,7 +209,7 @@ def exact_dup_groups(spark, sf_dir):
 
 @query("containment_pairs", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def containment_pairs(spark, sf_dir):
-    """Items whose text stands word for word in a document: documents and items meet by the items' first four words, then texts are compared."""
+    """Items whose text stands word for word in a document: documents and items meet by four words from inside the item, then texts are compared."""
     items = I.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
     docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")
     return P.contained(docs, items)
