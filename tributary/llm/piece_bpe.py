@@ -105,7 +105,7 @@ class Chunks:
     word that stands after one space, or after none, to what an engine makes of it; `run` does so for anything else.
     """
 
-    def __init__(self, vocabulary: Vocabulary, make, most: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, make, most: int = 200_000):
         class Memo(dict):
             def __init__(self, prefix):
                 self.prefix = prefix
@@ -282,7 +282,7 @@ class PrefixTable:
                 before = last[start] = chunk[start - 1]
             ok = pairs.get((before, piece))
             if ok is None:
-                if len(pairs) >= 500_000:
+                if len(pairs) >= 250_000:
                     pairs.clear()
                 ok = pairs[before, piece] = before not in ids or self._apart(before, piece)
             if ok:

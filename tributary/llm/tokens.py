@@ -64,7 +64,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", decoded: str
     return df.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4 << 20):
+def _slices(batch: pa.RecordBatch, most: int = 1 << 20):
     """Parts of a batch of about `most` bytes, so that lists of ids stay small in memory."""
     step = max(1, batch.num_rows * most // max(batch.nbytes, 1))
     for at in range(0, batch.num_rows, step):
