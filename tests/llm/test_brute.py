@@ -333,3 +333,9 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
     whole = fingerprints.features(data)
     monkeypatch.setattr(fingerprints, "PIECE", 3000)
     assert (fingerprints.features(data) == whole).all()
+
+
+def test_texts_together_have_their_own_features(texts):
+    some = [t.encode() for t in texts.values()] + [b"", b"x", b"ab " * 30, b"a" * 500, b"a" * 127 + b"bcdefgh", b"the quick brown fox " * 9]
+    together = fingerprints.features_of(some)
+    assert all((a == fingerprints.features(t)).all() and len(a) == len(fingerprints.features(t)) for a, t in zip(together, some))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, table
+from .common import blocks, mix64, partitions, table
 
 WINDOW, SPAN, POINTS = 64, 64, 16
 FILTER_BYTES, FEATURES, PROBES = 256, 160, 5
@@ -97,20 +97,77 @@ def features(data: bytes) -> np.ndarray:
         last = at + PIECE >= len(whole) - overlap
         spots = spots[(spots + begin >= at) & ((spots + begin < at + PIECE) | last)]
         if len(spots):
-            words = np.lib.stride_tricks.sliding_window_view(part, WINDOW)[spots].copy().view("<u8")
-            h = np.zeros(len(spots), dtype=np.uint64)
-            for k in range(WINDOW // 8):
-                h = mix64(h ^ words[:, k]) + np.uint64(k + 1)
-            out.append(mix64(h))
+            out.append(_hashed(part, spots))
     found = np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
-    if not len(found):  # nothing but windows without entropy
-        return np.array([int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")], dtype=np.uint64)
-    return found
+    return found if len(found) else _whole(data)
+
+
+def _whole(data: bytes) -> np.ndarray:
+    """The text as its own feature, where there is no other: a short text, or windows without entropy."""
+    return np.array([int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")], dtype=np.uint64)
+
+
+def _hashed(data: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the windows at the spots."""
+    words = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[spots].copy().view("<u8")
+    h = np.zeros(len(spots), dtype=np.uint64)
+    for k in range(WINDOW // 8):
+        h = mix64(h ^ words[:, k]) + np.uint64(k + 1)
+    return mix64(h)
+
+
+#: Texts of these lengths are worked on together, about TOGETHER bytes at once: enough windows for the usual points, not too long.
+_LEAST_TOGETHER, _MOST_TOGETHER, TOGETHER = WINDOW + SPAN, 1 << 16, 1 << 18
+
+
+def features_of(texts: list[bytes]) -> list[np.ndarray]:
+    """features() of each text. Windows of all usual texts are ranked in one array; those that cross from one text to the next are left out."""
+    out: list = [None] * len(texts)
+    held: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if _LEAST_TOGETHER <= len(t) <= _MOST_TOGETHER:
+            held.append(i)
+            size += len(t)
+            if size >= TOGETHER:
+                _together(texts, held, out)
+                held, size = [], 0
+        else:
+            out[i] = features(t)
+    if held:
+        _together(texts, held, out)
+    return out
+
+
+def _together(texts: list[bytes], which: list[int], out: list) -> None:
+    data = np.frombuffer(b"".join(texts[i] for i in which), dtype=np.uint8)
+    sizes = np.array([len(texts[i]) for i in which])
+    ends = np.cumsum(sizes)
+    ranks = _ranks(data)
+    n = len(ranks)
+    low, width = ranks * (1 << 32) + np.arange(n), 1
+    while width < SPAN:  # SPAN is a power of two
+        low, width = np.minimum(low[:-width], low[width:]), width * 2
+    # spans whose windows all lie in one text: from its start to SPAN + WINDOW - 1 bytes before its end
+    edge = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(edge, ends - sizes, 1)
+    np.add.at(edge, ends - (SPAN + WINDOW - 2), -1)
+    inside = np.cumsum(edge)[: len(low)] > 0
+    points = np.bincount(low[inside] & 0xFFFFFFFF, minlength=n)
+    spots = np.flatnonzero((points >= POINTS) & (ranks <= 1000))
+    hashes = _hashed(data, spots) if len(spots) else np.empty(0, dtype=np.uint64)
+    cuts = np.searchsorted(spots, ends)
+    for i, a, b in zip(which, np.concatenate(([0], cuts[:-1])), cuts):
+        out[i] = hashes[a:b] if b > a else _whole(texts[i])
 
 
 def digest(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bloom filters (rows of FILTER_BYTES) and the number of features in each. A feature that its filter already holds isn't inserted again."""
-    found = features(data)
+    """Bloom filters of a text; see filters()."""
+    return filters(features(data))
+
+
+def filters(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bloom filters (rows of FILTER_BYTES) of features and the number in each. A feature that came before isn't inserted again."""
     _, first = np.unique(found, return_index=True)
     found = found[np.sort(first)]
     n = -(-len(found) // FEATURES)
@@ -192,32 +249,28 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         held = None  # (part, doc_id, text, digest) of the row before
-        out: list = []
-
-        def finish(row, other, other_digest):
-            _, key, text, own = row
-            changed = edited(text, other)
-            data = changed.encode("utf-8", "replace")
-            d = digest(data)
-            out.append((key, len(text), hashlib.sha256(data).hexdigest(), as_text(own), as_text(d), likeness(own, d), likeness(own, other_digest)))
-
         done = None  # part whose copy has been used
         for batch in batches:
+            rows = []
             for key, text, part, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "copy"))):
-                if copy and done == part:
-                    continue
-                d = digest(text.encode("utf-8", "replace"))
-                if held is not None and held[0] == part:
-                    finish(held, text, d)
-                if copy:
-                    held, done = None, part
-                else:
-                    held = (part, key, text, d)
-                if len(out) >= 500:
+                if not (copy and done == part):
+                    rows.append((key, text, part, copy))
+                    done = part if copy else done
+            for begin, end in blocks([r[1] for r in rows]):
+                chunk = rows[begin:end]
+                own = [filters(f) for f in features_of([r[1].encode("utf-8", "replace") for r in chunk])]
+                pairs = []  # (row, next text, next digest)
+                for (key, text, part, copy), d in zip(chunk, own):
+                    if held is not None and held[0] == part:
+                        pairs.append((held, text, d))
+                    held = None if copy else (part, key, text, d)
+                if pairs:
+                    changed = [edited(row[2], other).encode("utf-8", "replace") for row, other, _ in pairs]
+                    out = []
+                    for ((_, key, text, mine), _, next_digest), data, f in zip(pairs, changed, features_of(changed)):
+                        d = filters(f)
+                        out.append((key, len(text), hashlib.sha256(data).hexdigest(), as_text(mine), as_text(d), likeness(mine, d), likeness(mine, next_digest)))
                     yield _rows(out)
-                    out.clear()
-        if out:
-            yield _rows(out)
 
     return neighbours(docs.select("doc_id", "text")).mapInArrow(run, OUT)
 
