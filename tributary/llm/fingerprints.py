@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from .common import blocks, mix64, partitions, table
 
 WINDOW, SPAN, POINTS = 64, 64, 16
 FILTER_BYTES, FEATURES, PROBES = 256, 160, 5
+#: Ranges of the key for each shuffle partition.
+PARTS = 4
 #: Bytes that are worked on at once, so that memory doesn't grow with a text.
 PIECE = 1 << 20
 _SCALE = 1 << 20
@@ -224,15 +228,19 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
-    cuts = sorted(set(rows.approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    cuts = [int(c) for c in cuts]
-    part = F.when(F.col(key).isNull(), 0).otherwise(sum(((F.col(key) >= c).cast("int") for c in cuts), F.lit(0))) if len(cuts) < 64 else F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(key))))
+    # several parts for each partition, so that those which meet in one by hash even out
+    wanted_parts = PARTS * n
+    cuts = sorted(set(rows.approxQuantile(key, [i / wanted_parts for i in range(1, wanted_parts)], max(0.2 / wanted_parts, 1e-4))))
+    # a binary search on the key as a double, which keeps the order; null keys come first
+    bucketizer = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="_at", outputCol="part")
+    rows = bucketizer.transform(rows.withColumn("_at", F.coalesce(F.col(key).cast("double"), F.lit(-math.inf)))).drop("_at")
+    part = F.col("part").cast("int")
     firsts = rows.groupBy(part.alias("part")).agg(F.min(F.struct(F.col(key).isNotNull().alias("known"), F.col(key))).alias("f")).orderBy("part").collect()  # a row for each part
     known = [(r.part, r.f[key]) for r in firsts]
     to = {known[(i + 1) % len(known)]: known[i][0] for i in range(len(known))}
     # (key of a part's first rows, part that needs them as copies); at most one for each part
     wanted = docs.sparkSession.createDataFrame([(k, p) for (_, k), p in to.items()], f"{key} long, copied_to int")
-    dealt = rows.withColumn("part", part.cast("int"))
+    dealt = rows.withColumn("part", part)
     copies = rows.join(F.broadcast(wanted), rows[key].eqNullSafe(wanted[key])).select(rows[key], text, F.col("copied_to").alias("part"), F.lit(1).alias("copy"))
     return dealt.select(key, text, "part", F.lit(0).alias("copy")).unionByName(copies).repartition(n, "part").sortWithinPartitions("part", "copy", key, text)
 
