@@ -123,6 +123,15 @@ def vector_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return rows.where("ghost").drop("ghost"), rows.where("NOT ghost").drop("ghost")
 
 
+def part_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cand_id, vector): every part with a vector. The vectors, numbered by vec_id, are dealt to the parts by key in turn."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    ids = vectors.select("vec_id").orderBy("vec_id").rdd.map(lambda r: r[0]).zipWithIndex()
+    numbers = spark.createDataFrame(ids, "vec_id long, number long")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand_id"), F.pmod("p_partkey", F.lit(vectors.count())).alias("number"))
+    return parts.join(numbers, "number").join(vectors, "vec_id").select("cand_id", F.col("embedding").alias("vector"))
+
+
 def sql_dot(a: str, b: str) -> str:
     return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
 
