@@ -354,16 +354,35 @@ def context(scored: DataFrame, least: float = 0.003, anchor: float = 0.9, middle
     )
 
 
-def siblings(pairs: DataFrame, vectors: DataFrame, anchor: float = 0.9) -> DataFrame:
-    """(s1_id, cand_id, sib_n, sib_cos_max, sib_cos_mean): the record against the entity's other records of p >= anchor. vectors: (cand_id, vector)."""
+def siblings(pairs: DataFrame, vectors: DataFrame, anchor: float = 0.9, records: DataFrame | None = None) -> DataFrame:
+    """(s1_id, cand_id, sib_n, sib_cos_max, sib_cos_mean): the record against the entity's other records of p >= anchor. vectors: (cand_id, vector).
+
+    With records (cand_id, name, addr, raw_addr) also sib_addr_max and sib_name_max (token-set ratio), sib_addr_eq, sib_name_eq and c_no_addr. Where either
+    raw address is empty there is no address similarity (null) and no equality; empty names aren't equal. A record that isn't among them has neither.
+    """
     from ..functions.similarity import cosine
 
     sure = pairs.where(F.col("p") >= anchor).select("s1_id", F.col("cand_id").alias("sib"))
     met = pairs.select("s1_id", "cand_id").join(sure, "s1_id").where("cand_id <> sib")
     met = met.join(vectors, "cand_id").join(vectors.select(F.col("cand_id").alias("sib"), F.col("vector").alias("sib_vector")), "sib")
     cos = cosine(F.col("vector"), F.col("sib_vector"), 1e-6)
-    found = met.groupBy("s1_id", "cand_id").agg(F.count("*").alias("sib_n"), F.max(cos).alias("sib_cos_max"), F.avg(cos).alias("sib_cos_mean"))
-    return pairs.select("s1_id", "cand_id").join(found, ["s1_id", "cand_id"], "left").withColumn("sib_n", F.coalesce("sib_n", F.lit(0)))
+    sums = [F.count("*").alias("sib_n"), F.max(cos).alias("sib_cos_max"), F.avg(cos).alias("sib_cos_mean")]
+    out = pairs.select("s1_id", "cand_id")
+    if records is not None:
+        texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("name", "addr", "raw_addr")]
+        mine = records.select("cand_id", F.struct(*texts).alias("r"))
+        met = met.join(mine, "cand_id", "left").join(mine.select(F.col("cand_id").alias("sib"), F.col("r").alias("s")), "sib", "left")
+        both = F.coalesce((F.col("r.raw_addr") != "") & (F.col("s.raw_addr") != ""), F.lit(False))
+        named = F.coalesce((F.col("r.name") != "") & (F.col("r.name") == F.col("s.name")), F.lit(False))
+        met = met.withColumns({
+            "addr_sim": F.when(both, S.measure(S.token_set_ratio, F.col("r.addr"), F.col("s.addr"))), "name_sim": S.measure(S.token_set_ratio, F.col("r.name"), F.col("s.name")),
+            "addr_eq": (both & (F.col("r.addr") == F.col("s.addr"))).cast("double"), "name_eq": named.cast("double"),
+        })
+        sums += [F.max(a).alias(b) for a, b in (("addr_sim", "sib_addr_max"), ("name_sim", "sib_name_max"), ("addr_eq", "sib_addr_eq"), ("name_eq", "sib_name_eq"))]
+        no_addr = F.coalesce(F.col("r.raw_addr"), F.lit("")) == ""
+        out = out.join(mine, "cand_id", "left").select("s1_id", "cand_id", no_addr.cast("double").alias("c_no_addr"))
+    found = met.groupBy("s1_id", "cand_id").agg(*sums)
+    return out.join(found, ["s1_id", "cand_id"], "left").withColumn("sib_n", F.coalesce("sib_n", F.lit(0)))
 
 
 def attach_score(pairs: DataFrame, scores: DataFrame, name: str, least_share: float = 0.999) -> DataFrame:

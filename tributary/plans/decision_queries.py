@@ -208,7 +208,8 @@ def sibling_features(spark, sf_dir):
 def sibling_features_whole(spark, sf_dir):
     """sibling_features on every scored pair, with its own ids and p."""
     scored = I.scored(spark, sf_dir)
-    return six(X.siblings(scored, I.part_vectors(spark, sf_dir)), "sib_cos_max", "sib_cos_mean")
+    out = X.siblings(scored, I.part_vectors(spark, sf_dir), records=I.part_texts(spark, sf_dir))
+    return six(out, "sib_cos_max", "sib_cos_mean", "sib_addr_max", "sib_name_max")
 
 
 CORRECTIONS = "log AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq, l_orderkey AS s1_id, l_partkey AS cand_id, CASE WHEN l_suppkey % 3 = 0 THEN 'add' ELSE 'remove' END AS action FROM lineitem WHERE l_linenumber = 2)"

@@ -132,6 +132,13 @@ def part_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(numbers, "number").join(vectors, "vec_id").select("cand_id", F.col("embedding").alias("vector"))
 
 
+def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cand_id, name, addr, raw_addr) of parts; every fourth is without a name, every fifth without an address."""
+    key = F.col("p_partkey")
+    name, raw = F.when(key % 4 == 0, "").otherwise(F.lower("p_name")), F.when(key % 5 == 0, "").otherwise(F.col("p_type"))
+    return table(spark, sf_dir, "part").select(key.alias("cand_id"), name.alias("name"), F.lower(raw).alias("addr"), raw.alias("raw_addr"))
+
+
 def sql_dot(a: str, b: str) -> str:
     return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
 
