@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 NOT_FOUND = 99
+#: Tokens of the right side in one block of nearest_tokens, about.
+BLOCK_ROWS = 4_000_000
 
 
 def token_frequency(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -99,6 +101,78 @@ def nearest(left: DataFrame, right: DataFrame, k: int, blocks: int = 4, rank: st
     return best(found, "id_1", "id_2", "score", k, rank)
 
 
+def token_bags(left: DataFrame, right: DataFrame, max_df: int) -> DataFrame:
+    """(part, side, id, tokens, weights): what token_weights gives, a row for each record that has a token below the cap; tokens as hashes."""
+    both = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(2)))
+    size = both.groupBy("part").agg(F.countDistinct("side", "id").alias("n"))
+    capped = token_frequency(left, right).where(F.col("df") <= max_df)
+    idf = capped.join(size, "part").select("part", "token", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
+    bags = both.join(idf, ["part", "token"]).groupBy("part", "side", "id").agg(F.collect_list(F.struct(F.xxhash64("token").alias("token"), "idf")).alias("bag"))
+    norm = F.sqrt(F.aggregate("bag", F.lit(0.0), lambda s, x: s + x["idf"] * x["idf"]))
+    weights = F.transform("bag", lambda x: F.when(F.col("norm") > 0, x["idf"] / F.col("norm")).otherwise(F.lit(0.0)))
+    return bags.withColumn("norm", norm).select("part", "side", "id", F.col("bag.token").alias("tokens"), weights.alias("weights"))
+
+
+def nearest_tokens(bags: DataFrame, k: int, left: int = 1, rank: str = "rank") -> DataFrame:
+    """(id_1, id_2, score, rank): the k records of the other side with the largest token cosine for each of side `left`, exact, within a part; what best()
+    makes of token_pairs(). bags: as token_bags gives them.
+
+    No pairs are joined: the other side is dealt into blocks of about BLOCK_ROWS tokens, left into slices, and each block meets each slice; a task goes
+    through the postings of its block in arrays and hands on k candidates for each record, so a common token costs additions, not rows.
+    """
+    one, two = bags.where(F.col("side") == left), bags.where(F.col("side") != left)
+    largest = lambda df: max((r["n"] for r in df.groupBy("part").agg(F.sum(F.size("tokens")).alias("n")).collect()), default=0)  # noqa: E731 - one row for each part
+    blocks, slices = 1 + largest(two) // BLOCK_ROWS, 4 + largest(one) // BLOCK_ROWS
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        one, two = rows[rows["side"] == left], rows[rows["side"] != left].sort_values("id")
+        empty = pd.DataFrame({"id_1": pd.Series(dtype="int64"), "id_2": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if not len(one) or not len(two):
+            return empty
+        keys = two["id"].to_numpy()
+        tokens = np.concatenate(two["tokens"].to_numpy())
+        order = np.argsort(tokens, kind="stable")
+        known, first = np.unique(tokens[order], return_index=True)
+        first = np.append(first, len(tokens))
+        holder = np.repeat(np.arange(len(two)), two["tokens"].map(len).to_numpy())[order]
+        weights = np.concatenate(two["weights"].to_numpy())[order]
+        out = []
+        for own, wanted, w in zip(one["id"], one["tokens"], one["weights"]):
+            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            has = known[at] == wanted
+            at, w = at[has], w[has]
+            n = first[at + 1] - first[at]
+            if not len(n):
+                continue
+            posting = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            held = holder[posting]
+            scores = np.bincount(held, weights=np.repeat(w, n) * weights[posting], minlength=len(two))
+            at = np.flatnonzero(np.bincount(held, minlength=len(two)))
+            rounded = np.round(scores[at], 9)
+            if len(at) > k:
+                least = np.partition(rounded, len(at) - k)[len(at) - k]
+                at, rounded = at[rounded >= least], rounded[rounded >= least]
+            at = at[np.argsort(-rounded, kind="stable")[:k]]  # stable: equal scores by id
+            out.append(pd.DataFrame({"id_1": np.full(len(at), own), "id_2": keys[at], "score": scores[at]}))
+        return pd.concat(out) if out else empty
+
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = one.withColumn("slice", spread(slices)).withColumn("block", every(blocks)).unionByName(two.withColumn("block", spread(blocks)).withColumn("slice", every(slices)))
+    found = dealt.groupBy("part", "block", "slice").applyInPandas(block, "id_1 long, id_2 long, score double")
+    return best(found, "id_1", "id_2", "score", k, rank)
+
+
+def equal_texts(left: DataFrame, right: DataFrame, k: int, rank: str = "rank") -> DataFrame:
+    """(id_1, id_2, score, rank) of equal records: the first k of right by id for each of left, with score 1. Both have (part, id, hash).
+
+    For records that no token retrieves. A group of n equal records gives k pairs for each of left, not n.
+    """
+    first = right.withColumn(rank, F.row_number().over(Window.partitionBy("part", "hash").orderBy("id")) - 1).where(F.col(rank) < k)
+    one, two = left.select("part", "hash", F.col("id").alias("id_1")), first.select("part", "hash", F.col("id").alias("id_2"), rank)
+    return one.join(two, ["part", "hash"]).select("id_1", "id_2", F.lit(1.0).alias("score"), rank)
+
+
 def nearest_both(left: DataFrame, right: DataFrame, forward: int, reverse: int) -> DataFrame:
     """Vector pass in both directions, as both_directions gives it."""
     f = nearest(left, right, forward, rank="rank_fwd")

@@ -88,6 +88,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- two sides of documents ---------------------------------------------------------------------
 
 MAX_DF, FORWARD, REVERSE = 50, 30, 8
+#: The document-frequency cap of the method itself; MAX_DF is that of the queries that have SQL.
+WHOLE_MAX_DF = 5000
 
 DOC_TOKENS = f"""doc_tokens AS (
   SELECT DISTINCT lang AS part, doc_id AS id, CASE WHEN {sql_role("CAST(doc_id AS VARCHAR)")} = 'ghost' THEN 1 ELSE 2 END AS side, unnest({sql_words(sql_strip("lower(text)"))}) AS token FROM documents
@@ -113,6 +115,14 @@ def document_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return words.where("side = 1").drop("side"), words.where("side = 2").drop("side")
 
 
+def texts_without(spark: SparkSession, sf_dir: str, bags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(part, id, hash) of both sides: the documents that have words, but no bag."""
+    docs = table(spark, sf_dir, "documents").where(F.size(N.word_tokens(N.basic_clean(F.col("text")))) > 0)
+    docs = docs.select(F.col("lang").alias("part"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hash"), (N.role(F.col("doc_id").cast("string")) == "ghost").alias("ghost"))
+    left = docs.join(bags.select("part", "id"), ["part", "id"], "left_anti")
+    return left.where("ghost").drop("ghost"), left.where("NOT ghost").drop("ghost")
+
+
 # --- vectors ------------------------------------------------------------------------------------
 
 VECTORS = f"vectors AS (SELECT vec_id AS id, label AS part, embedding, {sql_role('CAST(vec_id AS VARCHAR)')} = 'ghost' AS ghost FROM embeddings)"

@@ -196,6 +196,28 @@ SELECT s1_id, coalesce(string_agg(CAST(id_2 AS VARCHAR), ',' ORDER BY id_2), '')
 def link_documents(spark, sf_dir):
     """Flagship: normalise, cut into tokens, retrieve by rare tokens, best owner, threshold, id lists."""
     pairs = B.best(B.token_pairs(*I.document_sides(spark, sf_dir), I.MAX_DF), "id_1", "id_2", "score", I.FORWARD, "rank")
+    return _linked(spark, sf_dir, pairs)
+
+
+@query("link_documents_whole")
+def link_documents_whole(spark, sf_dir):
+    """link_documents with the cap of the method; documents whose words are all above it meet by equal texts."""
+    return _linked(spark, sf_dir, whole_pairs(spark, sf_dir, I.WHOLE_MAX_DF))
+
+
+def whole_pairs(spark, sf_dir, max_df):
+    """(id_1, id_2, score): the best candidates of each document in both directions, by tokens, and by equal texts where no token is below the cap."""
+    from ..llm.common import written
+
+    bags = written(B.token_bags(*I.document_sides(spark, sf_dir), max_df), "token-bags")
+    one, two = I.texts_without(spark, sf_dir, bags)
+    forward = B.nearest_tokens(bags, I.FORWARD).unionByName(B.equal_texts(one, two, I.FORWARD))
+    reverse = B.nearest_tokens(bags, I.REVERSE, left=2).unionByName(B.equal_texts(two, one, I.REVERSE))
+    pairs = forward.select("id_1", "id_2", "score").unionAll(reverse.select("id_2", "id_1", "score"))
+    return pairs.groupBy("id_1", "id_2").agg(F.max("score").alias("score"))
+
+
+def _linked(spark, sf_dir, pairs):
     scored = pairs.select(F.col("id_1").alias("s1_id"), F.col("id_2").alias("cand_id"), F.col("score").alias("p"))
     chosen = D.best_owner(scored).where(F.round("p", 9) >= 0.5)
     sides = I.table(spark, sf_dir, "documents").where(N.role(F.col("doc_id").cast("string")) == "ghost").select(F.col("doc_id").alias("s1_id"))
