@@ -14,7 +14,7 @@ import pytest
 from tests.conftest import SF
 from tributary.llm import components, fingerprints, hpy_lm, near_dup, queries, secrets, sharding, toxicity, url_filter
 from tributary.llm.piece_bpe import Decoder, HeapCounter, PrefixTable, Vocabulary
-from tributary.llm.tokens import _model_path
+from tributary.llm.tokens import model_path
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -84,6 +84,41 @@ def test_group_of_edited_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def edit(words, rng, n):
+    out = list(words)
+    for at in rng.choice(len(out), n, replace=False):
+        out[at] = f"x{rng.integers(1 << 40)}"
+    return out
+
+
+def test_rows_without_ids_link(spark):
+    """Null ids, repeated ids and mixed ones: links through any row count, and the smallest id that isn't null names the component."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    middle = edit(base, rng, 2)
+    rows = [(1, " ".join(edit(middle, rng, 3))), (None, " ".join(middle)), (2, " ".join(edit(middle, rng, 3))), (3, "quite another text of its own"), (3, " ".join(base)), (None, "alone here without any id at all"), (None, None), (4, "")]
+    want = brute_components({i: shingles(t or "", 5) for i, (_, t) in enumerate(rows)})
+    least = {c: min((k for i, (k, _) in enumerate(rows) if want[i] == c and k is not None), default=None) for c in want.values()}
+    assert want[0] == want[1] == want[2] == want[4]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(df, 5).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted(((k, len(shingles(t or "", 5)), least[want[i]]) for i, (k, t) in enumerate(rows)), key=repr)
+    kept = near_dup.drop_near_duplicates(df, 5).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([rows[0], rows[3], rows[5], rows[6], rows[7]], key=repr)
+
+
+def test_many_near_copies_beside_another_group(spark):
+    """A group of many near copies that shares buckets with another component: no link between the two is lost or made up."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(90)]
+    rows = {k: " ".join(edit(base, rng, 1)) for k in range(700)}
+    far = edit(base, rng, 5)  # near the threshold
+    rows |= {k: " ".join(edit(far, rng, int(rng.integers(0, 2)))) for k in range(700, 720)}
+    want = brute_components({k: shingles(t, 5) for k, t in rows.items()})
+    got = near_dup.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), 5).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -184,7 +219,7 @@ def test_differencing():
 def library():
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=_model_path())
+    return sentencepiece.SentencePieceProcessor(model_file=model_path())
 
 
 def test_pieces(spark, texts, library):
@@ -196,7 +231,7 @@ def test_pieces(spark, texts, library):
 
 
 def test_pieces_of_random_texts(library):
-    vocabulary = Vocabulary.load(_model_path())
+    vocabulary = Vocabulary.load(model_path())
     table, counter, decoder = PrefixTable(vocabulary), HeapCounter(vocabulary), Decoder(vocabulary)
     rng = np.random.default_rng(4)
     bits = ["a", "th", " ", "  ", "   ", "\n", "▁", "é", "日", "🙂", "\x00", "ing", ".", "<s>", "12", "\t", "aaa", "====", "<0x41>", *rng.choice(vocabulary.pieces[300:], 400).tolist()]

@@ -46,7 +46,7 @@ def benchmark(spark):
 
 
 def path():
-    return tokens._model_path()
+    return tokens.model_path()
 
 
 def test_near_duplicates(docs, empty):

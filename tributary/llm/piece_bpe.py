@@ -10,6 +10,7 @@ list, operator 10).
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import struct
@@ -51,6 +52,7 @@ class Vocabulary:
     """Pieces, scores and kinds of a model file, with what both engines need. Picklable."""
 
     def __init__(self, model: bytes):
+        self.source = hashlib.sha256(model).hexdigest()
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -98,6 +100,29 @@ class Vocabulary:
         return [i] if i is not None else [self.byte_ids[b] for b in char.encode("utf-8", "replace")]
 
 
+class Memo(dict):
+    """What an engine makes of a chunk, `prefix` put in front. Two generations of `most` chunks each: what is still in use moves on, so a full memo
+
+    forgets rare chunks only, and memory doesn't grow with the corpus. Chunks of more than LONGEST characters aren't kept.
+    """
+
+    LONGEST = 64
+
+    def __init__(self, make, prefix: str, most: int):
+        self.make, self.prefix, self.most, self.old = make, prefix, most, {}
+
+    def __missing__(self, word):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(self.prefix + word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
 class Chunks:
     """Cut a text where no merge can reach across: before a run of spaces, and on both sides of a line feed.
 
@@ -105,20 +130,8 @@ class Chunks:
     word that stands after one space, or after none, to what an engine makes of it; `run` does so for anything else.
     """
 
-    def __init__(self, vocabulary: Vocabulary, make, most: int = 200_000):
-        class Memo(dict):
-            def __init__(self, prefix):
-                self.prefix = prefix
-
-            def __missing__(self, word):
-                if len(self) >= most:
-                    self.clear()
-                value = make(self.prefix + word)
-                if len(word) <= 64:
-                    self[word] = value
-                return value
-
-        self.spaced, self.bare, self.run = Memo(MARK), Memo(""), Memo("")
+    def __init__(self, vocabulary: Vocabulary, make, most: int = 150_000):
+        self.spaced, self.bare, self.run = Memo(make, MARK, most), Memo(make, "", most // 5), Memo(make, "", most // 5)
         self.newline_alone = vocabulary.newline_alone
         self.prefix = vocabulary.dummy_prefix
 
@@ -218,17 +231,24 @@ class PrefixTable:
     no order of their own; a chunk that starts with two spaces or more is merged step by step.
     """
 
+    #: Answers of the test of neighbours that are kept at once.
+    PAIRS = 250_000
+
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
 
         self.v, self.rank, self.ids = vocabulary, vocabulary.rank, vocabulary.ids
         self.split: dict[str, tuple[str, str]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: first id << 20 | second id -> whether the two may stand side by side
+        self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for piece in sorted(self.ids, key=len):
             if len(piece) == 1 or self._last_merge(piece):
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, (len(piece), self.ids[piece]))
         self.automaton.make_automaton()
+        self.sizes = [len(p) for p in vocabulary.pieces]
+        self.digits = [str(i) for i in range(len(vocabulary.pieces))]
+        self.bytes = dict(zip(self.digits, Decoder(vocabulary).text))
         self.chunks = Chunks(vocabulary, self._memo)
 
     def _last_merge(self, piece: str) -> bool:
@@ -260,58 +280,70 @@ class PrefixTable:
             else:
                 end, on_left, x = made_x, True, split[x][1]
 
-    def pieces(self, chunk: str) -> list[str]:
-        """Pieces of one chunk; a character that is no piece stands for itself."""
+    def chunk_ids(self, chunk: str) -> list[int]:
+        """Ids of one chunk; a character that is no piece ends as its bytes."""
+        ids = self.ids
         if chunk.startswith(MARK + MARK):
-            return [x for x in merged(chunk, self.rank)[0] if x]
+            out = []
+            for x in merged(chunk, self.rank)[0]:
+                if x:
+                    out.extend([ids[x]] if x in ids else self.v.char_ids(x))
+            return out
         n = len(chunk)
-        last: list[str | None] = [None] * (n + 1)
-        pairs, ids = self.pairs, self.ids
-        for end, piece in self.automaton.iter(chunk):
-            end += 1
-            if last[end] is not None:
+        # id of the last piece of each prefix; -1 where no piece ends
+        last = [-1] * (n + 1)
+        pairs = self.pairs
+        for at, (size, piece) in self.automaton.iter(chunk):
+            end = at + 1
+            if last[end] >= 0:
                 continue
-            start = end - len(piece)
-            if not start:
-                last[end] = piece
-                continue
-            before = last[start]
-            if before is None:
-                if chunk[start - 1] in ids:
+            start = end - size
+            if start:
+                before = last[start]
+                if before >= 0:
+                    key = before << 20 | piece
+                    ok = pairs.get(key)
+                    if ok is None:
+                        if len(pairs) >= self.PAIRS:
+                            pairs.clear()
+                        ok = pairs[key] = self._apart(self.v.pieces[before], self.v.pieces[piece])
+                    if not ok:
+                        continue
+                elif chunk[start - 1] in ids:
                     continue
-                before = last[start] = chunk[start - 1]
-            ok = pairs.get((before, piece))
-            if ok is None:
-                if len(pairs) >= 250_000:
-                    pairs.clear()
-                ok = pairs[before, piece] = before not in ids or self._apart(before, piece)
-            if ok:
-                last[end] = piece
+                # else: after a character that is no piece anything may stand
+            last[end] = piece
         out = []
+        sizes = self.sizes
         while n:
-            piece = last[n] or chunk[n - 1]
-            out.append(piece)
-            n -= len(piece)
+            piece = last[n]
+            if piece >= 0:
+                out.append(piece)
+                n -= sizes[piece]
+            else:
+                n -= 1
+                out.extend(reversed(self.v.char_ids(chunk[n])))
         out.reverse()
         return out
 
-    def _memo(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        ids: list[int] = []
-        for piece in self.pieces(chunk):
-            i = self.ids.get(piece)
-            if i is None:
-                ids.extend(self.v.char_ids(piece))
-            else:
-                ids.append(i)
-        return tuple(ids), ",".join(map(str, ids))
+    def _memo(self, chunk: str) -> str:
+        return ",".join([self.digits[i] for i in self.chunk_ids(chunk)])
+
+    def digits_of(self, text: str) -> str:
+        """The ids as decimal numbers joined by commas."""
+        return ",".join(self.chunks.of(text))
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.chunks.of(text) for i in ids]
+        found = self.digits_of(text)
+        return list(map(int, found.split(","))) if found else []
 
-    def encode_with_digest(self, text: str) -> tuple[list[int], str]:
-        """Ids, and the ids as decimal numbers joined by commas."""
-        found = self.chunks.of(text)
-        return [i for ids, _ in found for i in ids], ",".join([x for _, x in found])
+    def encode_and_decode(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, the ids as decimal numbers joined by commas, and the text that decoding the ids gives."""
+        found = self.digits_of(text)
+        if not found:
+            return 0, "", ""
+        back = b"".join(map(self.bytes.__getitem__, found.split(",")))
+        return found.count(",") + 1, found, finished(back, self.v.dummy_prefix)
 
 
 class Decoder:
@@ -332,13 +364,17 @@ class Decoder:
                 self.text.append(b"" if kind == CONTROL else piece.replace(MARK, " ").encode())
 
     def decode(self, ids) -> str:
-        out = b"".join(map(self.text.__getitem__, ids))
-        if self.prefix and out[:1] == b" ":
-            out = out[1:]
-        try:
-            return out.decode()
-        except UnicodeDecodeError:
-            return _lenient(out)
+        return finished(b"".join(map(self.text.__getitem__, ids)), self.prefix)
+
+
+def finished(out: bytes, prefix: bool) -> str:
+    """Decoded text from the bytes of the pieces: without the space that encoding put in front, as UTF-8."""
+    if prefix and out[:1] == b" ":
+        out = out[1:]
+    try:
+        return out.decode()
+    except UnicodeDecodeError:
+        return _lenient(out)
 
 
 def _lenient(data: bytes) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from .piece_bpe import Decoder, HeapCounter, PrefixTable, Vocabulary
 MODEL = "piece_bpe_32k.model"
 
 
-def _model_path() -> str:
+def model_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(MODEL)
@@ -25,6 +26,18 @@ def _shipped(df: DataFrame, model_path: str):
     return df.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
 
 
+_ENGINES: dict = {}
+
+
+def _engine(kind, vocabulary: Vocabulary):
+    """One engine of a kind for each worker process and vocabulary, with what it has in memory; another vocabulary replaces it."""
+    held = _ENGINES.get(kind)
+    if held is None or held.source != vocabulary.source:
+        held = _ENGINES[kind] = kind(vocabulary)
+        held.source = vocabulary.source
+    return held
+
+
 def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
@@ -39,7 +52,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", ids: str =
     schema = df.withColumn(ids, F.lit(None).cast("array<int>")).schema
 
     def run(batches):
-        engine = PrefixTable(shipped.value)
+        engine = _engine(PrefixTable, shipped.value)
         for batch in batches:
             for part in _slices(batch):
                 encoded = [engine.encode(x) for x in _texts(part, text)]
@@ -71,20 +84,49 @@ def _slices(batch: pa.RecordBatch, most: int = 1 << 20):
         yield batch.slice(at, step)
 
 
+def transcode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", n: str = "n_tokens") -> DataFrame:
+    """The columns of df without `text`, plus the piece ids of the whole text, the text that decoding them gives, and their number, in one pass.
+
+    A null or empty text gives no ids and an empty text. Columns named like the new ones are replaced. Rows are independent: nothing shuffles.
+    """
+    shipped = _shipped(df, model_path)
+    kept = [c for c in df.columns if c not in (text, ids, decoded, n)]
+    schema = df.select(*kept, F.lit(None).cast("array<int>").alias(ids), F.lit("").alias(decoded), F.lit(0).cast("long").alias(n)).schema
+
+    def run(batches):
+        engine = _engine(PrefixTable, shipped.value)
+        for batch in batches:
+            for part in _slices(batch):
+                numbers, texts, counts = [], [], []
+                for x in _texts(part, text):
+                    count, found, back = engine.encode_and_decode(x)
+                    numbers.append(np.fromiter(map(int, found.split(",")), dtype=np.int32, count=count) if count else np.empty(0, dtype=np.int32))
+                    texts.append(back)
+                    counts.append(count)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in kept), pa.array(numbers, pa.list_(pa.int32())), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=[*kept, ids, decoded, n]
+                )
+
+    return df.select(*kept, text).mapInArrow(run, schema)
+
+
 def piece_digests(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_tokens, SHA-256 of the ids and of the decoded text. Encoding and decoding run in one pass, the ids are not kept."""
+    """Per row: key, n_tokens, SHA-256 of the ids and of the decoded text. Encoding and decoding run in one pass, the ids are not kept.
+
+    A null or empty text has no ids; its digests are those of the empty string. Rows that repeat, and null keys, are encoded each.
+    """
     shipped = _shipped(df, model_path)
 
     def run(batches):
-        engine, decoder = PrefixTable(shipped.value), Decoder(shipped.value)
+        engine = _engine(PrefixTable, shipped.value)
         for batch in batches:
             for part in _slices(batch):
                 counts, ids_sha, text_sha = [], [], []
                 for x in _texts(part, text):
-                    ids, digest = engine.encode_with_digest(x)
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(digest.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(decoder.decode(ids).encode("utf-8", "replace")).hexdigest())
+                    n, ids, decoded = engine.encode_and_decode(x)
+                    counts.append(n)
+                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(key).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                     names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -98,7 +140,7 @@ def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, key: str = "
     shipped = _shipped(df, model_path)
 
     def run(batches):
-        counter = HeapCounter(shipped.value)
+        counter = _engine(HeapCounter, shipped.value)
         for batch in batches:
             texts = _texts(batch, text)
             counts = [counter.count(x) for x in texts]
@@ -111,8 +153,8 @@ def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, key: str = "
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_digests(table(spark, sf_dir, "documents"), _model_path())
+    return piece_digests(table(spark, sf_dir, "documents"), model_path())
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), _model_path())
+    return count_tokens(table(spark, sf_dir, "documents"), model_path())
