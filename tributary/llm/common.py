@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -32,19 +33,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; where it is unset and all of Spark is in one process (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a narrow table for each of its files, at least.
+ROWS_A_FILE = 20_000
+
+
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The folder is removed when the driver's JVM ends.
+    rows: a bound on the number of (narrow) rows where one is known; then there are no more files than they fill. The folder is removed when the driver's
+    JVM ends.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if rows is not None and 1 + rows // ROWS_A_FILE < partitions(spark):
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)

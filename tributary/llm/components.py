@@ -15,14 +15,15 @@ def components(links: DataFrame) -> DataFrame:
     chains of hubs and never more than the longest path.
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    edges = written(both.where("u <> v").distinct(), "links")
-    labels = written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")), "labels")
+    edges = written(both.where("u <> v").distinct(), "links", 2 * links.count())
+    n = edges.count()
+    labels = written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")), "labels", n)
     while True:
         near = edges.join(labels.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy(F.col("u").alias("node")).agg(F.min("r").alias("r"))
         lower = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
-        lower = written(lower, "labels")
+        lower = written(lower, "labels", n)
         jump = lower.join(lower.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").select("node", F.least("root", "further").alias("root"), "old")
-        after = written(jump, "labels")
+        after = written(jump, "labels", n)
         changed = after.where("root <> old").limit(1).count()
         drop_written(lower)
         drop_written(labels)

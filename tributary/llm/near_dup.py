@@ -78,11 +78,11 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, cls, n, bands, bits) of each row; cls, bands and bits are null without shingles."""
+    """(doc_id, h, cls, n, bands, bits) of each row, h being a hash of the text; cls, bands and bits are null without shingles."""
 
     def run(batches):
         for batch in batches:
-            texts, keys = as_bytes(batch.column(1)), batch.column(0).cast(pa.int64())
+            texts, keys, h = as_bytes(batch.column(1)), batch.column(0).cast(pa.int64()), batch.column(2)
             for begin, end in blocks(texts):
                 sets = list(shingle_sets(texts[begin:end], words))
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -94,11 +94,11 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                     for i, b, p in zip(full, band_keys(minima), packed_bits(minima)):
                         cls[i], bands[i], bits[i] = _class_of(sets[i]), b, p
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(begin, end - begin), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                    names=["doc_id", "cls", "n", "bands", "bits"],
+                    [keys.slice(begin, end - begin), h.slice(begin, end - begin), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    names=["doc_id", "h", "cls", "n", "bands", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(_SIGNED))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, " + ", ".join(_SIGNED))
 
 
 def class_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -158,10 +158,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """Per row of (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing. Equal texts, repeated rows too, are always linked. Rows
-    that repeat a doc_id stay rows of their own. An empty table gives no rows.
+    that repeat a doc_id stay rows of their own. Rows with a null doc_id link like all others; a component without any doc_id has a null component_id. An
+    empty table gives no rows.
+    """
+    rows, firsts = _grouped(docs, words, percent)
+    out = rows.join(firsts, "cls", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, cls, n) of docs, and (cls, first) of the classes that have several rows or links: first is the least (no_id, doc_id, h) of the
+
+    component, rows with a doc_id before those without.
     """
     rows = written(signed(docs, words), "signatures")
-    classes = written(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("label"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    classes = written(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min(own).alias("first"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
+    n = classes.count()
     banded = classes.select("cls", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(shared, "band"), "buckets")
@@ -170,43 +184,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     weight = members.groupBy("cls").agg(F.sum("n").alias("weight"))
     hubs = members.join(weight, "cls").groupBy("band").agg(F.max(F.struct("weight", "cls")).alias("hub"))
     stars = members.join(hubs, "band").where("cls <> hub.cls").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.weight").alias("weight")).distinct()
-    bits = classes.select("cls", "bits")
-    for side in ("a", "b"):
-        stars = stars.join(bits.select(F.col("cls").alias(side), F.col("bits").alias(f"bits_{side}")), side)
-    stars = stars.withColumn("d", differing(F.col("bits_a"), F.col("bits_b"))).where(F.col("d") <= most_differing(percent / 100))
+    stars = _alike(stars, classes, percent)
     # a class is tested against the hub of most weight and the most similar one
     chosen = stars.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("x"), F.min(F.struct("d", "a")).alias("y"))
-    first = written(chosen.select("b", F.explode(F.array_distinct(F.array("x.a", "y.a"))).alias("a")), "pairs")
-    sets = _sets(docs, rows, classes, members, words)
+    first = written(chosen.select("b", F.explode(F.array_distinct(F.array("x.a", "y.a"))).alias("a")), "pairs", 2 * n)
+    sets = _sets(docs, classes, members, words)
     links = written(confirmed(first, sets, percent), "links")
     roots = components(links)
 
     # second round: classes in buckets where more than one component is left
     placed = members.select("band", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
     mixed = placed.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("band")
-    open_classes = written(placed.join(mixed, "band", "left_semi").select("cls", "root").distinct(), "open-classes")
-    second = written(_crossing(open_classes, sets, percent), "pairs")
+    open_classes = written(placed.join(mixed, "band", "left_semi").select("cls", "root").distinct(), "open-classes", n)
+    prefixes = _prefixes(open_classes, sets, percent)
+    second = written(_alike(_crossing(prefixes, percent), classes, percent).select("a", "b"), "pairs")
     if not second.isEmpty():
         more = written(confirmed(second, sets, percent), "links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
 
-    linked = classes.select("cls", "label", "rows").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    linked = written(linked.where("rows > 1 OR root IS NOT NULL").select("cls", "label", F.coalesce("root", "cls").alias("root")), "linked")
-    smallest = linked.groupBy("root").agg(F.min("label").alias("component_id"))
-    found = linked.join(smallest, "root").select("cls", "component_id")
-    out = rows.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(found, "cls", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    for used in (members, open_classes, first, second):
+    linked = classes.select("cls", "first", "rows").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    linked = written(linked.where("rows > 1 OR root IS NOT NULL").select("cls", "first", F.coalesce("root", "cls").alias("root")), "linked", n)
+    least = linked.groupBy("root").agg(F.min("first").alias("first"))
+    for used in (members, open_classes, prefixes, first, second):
         drop_written(used)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.select("doc_id", "h", "cls", "n"), linked.select("cls", "root").join(least, "root").select("cls", "first")
 
 
-def _crossing(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of open classes (cls, root) of different roots whose sets may reach the threshold, by prefix and position; none that does is lost.
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with d, the number of minima whose low bits differ, where the estimate from the packed bits may reach the threshold."""
+    bits = classes.select("cls", "bits")
+    for side in ("a", "b"):
+        pairs = pairs.join(bits.select(F.col("cls").alias(side), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs.withColumn("d", differing(F.col("bits_a"), F.col("bits_b"))).where(F.col("d") <= most_differing(percent / 100)).drop("bits_a", "bits_b")
+
 
-    Shingles are put in one order, rarest first. Two sets that share enough have their first common shingle so early in both that what follows suffices:
-    a pair meets on such shingles only. Heavily edited copies begin with shingles of their own, so they meet next to nothing.
+def _prefixes(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A written table (s, cls, root, n, at, major) of the shingles by which open classes (cls, root) may meet a class of another root.
+
+    Shingles are put in one order, rarest first. Two sets that share enough have their first common shingle so early in both that these prefixes hold it.
+    Heavily edited copies begin with shingles of their own, so they meet next to nothing. Shingles of one root alone bring nobody together. major: whether
+    root is the one that most classes with this shingle belong to.
     """
 
     def listed(batches):
@@ -216,39 +234,58 @@ def _crossing(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
     wanted = sets.join(open_classes, "cls").select("cls", "shingles", "root").mapInArrow(listed, "cls long, shingles array<long>, root long")
     each = wanted.select("cls", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    df = each.groupBy("s").agg(F.count("*").alias("df"))
+    df = each.groupBy("s").agg(F.count("*").alias("df"), F.min("root").alias("least"), F.max("root").alias("most"))
     placed = each.join(df, "s").withColumn("at", F.row_number().over(Window.partitionBy("cls").orderBy("df", "s")))
-    # a set of n shingles shares at least percent * n / 100 of them with any linked one; alone in the corpus a shingle brings nobody together
-    prefix = written(placed.where((100 * (F.col("n") - F.col("at") + 1) >= percent * F.col("n")) & (F.col("df") > 1)).select("s", "cls", "root", "n", "at"), "prefixes")
-    x, y = (prefix.select("s", *(F.col(c).alias(f"{c}_{side}") for c in ("cls", "root", "n", "at"))) for side in ("x", "y"))
+    # a set of n shingles shares at least percent * n / 100 of them with any linked one
+    prefix = written(placed.where((100 * (F.col("n") - F.col("at") + 1) >= percent * F.col("n")) & (F.col("least") != F.col("most"))).select("s", "cls", "root", "n", "at"), "prefixes")
+    sizes = prefix.groupBy("s", "root").agg(F.count("*").alias("size"))
+    top = sizes.groupBy("s").agg(F.max(F.struct("size", "root")).alias("top"))
+    out = written(prefix.join(top, "s").select("s", "cls", "root", "n", "at", (F.col("root") == F.col("top.root")).alias("major")), "prefixes")
+    drop_written(prefix)
+    return out
+
+
+def _crossing(prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open classes of different roots whose sets may reach the threshold, by prefix and position; none that does is lost.
+
+    A shingle's classes outside its major root meet all its classes of other roots, so classes of one large root never meet each other: a group of k near
+    copies beside m others gives k * m pairs at most, never k * k.
+    """
+    x, y = (prefix.select("s", *(F.col(c).alias(f"{c}_{side}") for c in ("cls", "root", "n", "at", "major"))) for side in ("x", "y"))
     rest = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) + 1
-    may = (F.col("root_x") != F.col("root_y")) & (F.col("cls_x") < F.col("cls_y")) & (rest * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y")))
-    return x.join(y, (x.s == y.s) & may).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct()
+    once = F.col("major_y") | (F.col("cls_x") < F.col("cls_y"))
+    may = (F.col("root_x") != F.col("root_y")) & once & (rest * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y")))
+    pairs = x.where("NOT major_x").join(y, (x.s == y.s) & may)
+    return pairs.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct()
 
 
-def _sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """A written table (cls, shingles) of the classes in shared buckets."""
+def _sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """A written table (cls, shingles) of the classes in shared buckets, each made again from its first row."""
     wanted = members.select("cls").distinct()
-    ids = classes.select("cls", "label").join(wanted, "cls").select(F.col("label").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(_small(ids), "doc_id", "left_semi")
+    ids = classes.select("cls", "first").join(wanted, "cls").select(F.col("first.doc_id").alias("id"), F.col("first.h").alias("hash")).distinct()
+    ids = _small(ids)
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left_semi")
     found = class_sets(texts, words).join(wanted, "cls", "left_semi")
     return written(found.dropDuplicates(["cls"]), "shingle-sets")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that stay when one document of each group of near duplicates does: the one of smallest doc_id.
+    """The rows of docs, with all their columns, that stay when one row of each group of near duplicates does: the one of smallest doc_id, rows without a
 
-    Of rows that repeat both doc_id and text one stays. Where rows of different texts share a doc_id, all stay if one does. Null doc_ids stay.
+    doc_id last, then by the text's hash. Rows whose text has no shingles stay. Of rows that repeat both doc_id and text one stays.
     """
-    found = written(near_duplicates(docs, words, percent), "near-duplicates")
-    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    out = docs.join(_small(gone.where("NOT kept").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
-    repeated = gone.where("kept AND rows > 1").select("doc_id")
+    rows, firsts = _grouped(docs, words, percent)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    judged = rows.join(firsts, "cls").groupBy("doc_id", "h").agg(F.bool_and(own.eqNullSafe(F.col("first"))).alias("kept"), F.count("*").alias("rows"))
+    judged = written(judged.where("NOT kept OR rows > 1").select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), "kept"), "near-duplicates")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash"))
+    out = docs.join(_small(judged.where("NOT kept")), same, "left_anti").select(docs.columns)
+    repeated = judged.where("kept")
     if repeated.isEmpty():
         return out
     # these rows alone are compared by text
     repeated = _small(repeated)
-    return out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    return out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
