@@ -23,17 +23,19 @@ from .common import id_crc, partitions, table, written
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 FEATURES = 600
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Words of up to 64 characters whose features a task keeps at hand.
+MEMO = 100_000
 #: A word in this many makes a feature's value 1.
 SATURATION = 100.0
 
 
 def word_features(word: str) -> tuple[str, ...]:
-    """Beginnings of 4, 5 and 6 letters, and the word itself."""
-    found = LETTERS.search(word)
-    if not found:
-        return ()
-    w = found.group()[:24]
-    return (w + "$", *(w[:n] for n in (4, 5, 6) if len(w) >= n))
+    """Of each run of letters in a word of the text: its beginnings of 4, 5 and 6 letters, and the run itself."""
+    out: list[str] = []
+    for w in LETTERS.findall(word):
+        out.append(w + "$")
+        out.extend(w[:n] for n in (4, 5, 6) if len(w) >= n)
+    return tuple(out)
 
 
 def values(text: str) -> dict[str, float]:
@@ -66,9 +68,11 @@ class Model:
         for w in words:
             found = memo.get(w)
             if found is None:
-                if len(memo) > 300_000:
-                    memo.clear()
-                found = memo[w] = tuple(self.index[f] for f in word_features(w) if f in self.index)
+                found = tuple(self.index[f] for f in word_features(w) if f in self.index)
+                if len(w) <= 64:
+                    if len(memo) > MEMO:
+                        memo.clear()
+                    memo[w] = found
             if found:
                 hits += found
         g = self.bias
@@ -138,7 +142,11 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model from documents (doc_id, text) and labels (doc_id, toxic). Without a confirmed positive text it scores the prior."""
+    """Model from documents (doc_id, text) and labels (doc_id, toxic). Without a confirmed positive text, as with empty tables, it scores the prior.
+
+    Rows of either table with a null doc_id, and labels with a null toxic, teach nothing. A document whose doc_id repeats, with equal or other texts,
+    counts once for each row; a doc_id with several labels is positive if one of them is. Null texts count as empty. Other columns play no part.
+    """
     sample, prior = _sample(docs.select("doc_id", "text"), labels)
 
     def sums(batches):
@@ -169,15 +177,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             at, x = [], []
             for text in batch.column(0).to_pylist():
-                found = {index[f]: v for f, v in values(text or "").items() if f in index}
+                found = dict(sorted((index[f], v) for f, v in values(text or "").items() if f in index))
                 at.append(list(found))
                 x.append(list(found.values()))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["positive", "at", "x"])
 
     # bounded: at most MAX_POSITIVE + MAX_UNLABELLED rows of at most FEATURES values
-    got = sample.mapInArrow(rows, "positive boolean, at array<int>, x array<float>").orderBy("positive", F.hash("at", "x")).toArrow()
-    positive = got.column("positive").to_pylist()
-    at, x = got.column("at").to_pylist(), got.column("x").to_pylist()
+    got = sample.mapInArrow(rows, "positive boolean, at array<int>, x array<float>").toArrow()
+    # one order whatever the partitions, so that sums round alike
+    ordered = sorted(zip(*(got.column(c).to_pylist() for c in ("positive", "at", "x"))))
+    positive, at, x = zip(*ordered)
     part = lambda kind: Sparse.of([a for a, k in zip(at, positive) if k is kind], [v for v, k in zip(x, positive) if k is kind], len(names))
     weights, bias = fit_nnpu(part(True), part(False), prior)
     return Model({f: float(w) for f, w in zip(names, weights)}, bias)
@@ -197,7 +206,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of docs whose score is below the threshold, with all their columns."""
+    """The rows of docs whose score is below the threshold, with all their columns. A null text is scored as an empty one; repeated rows and rows with
+
+    a null doc_id are judged like all others.
+    """
 
     def run(batches):
         for batch in batches:
