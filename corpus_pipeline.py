@@ -6,12 +6,11 @@ All stages but the last return the columns of documents. Part of the subpackage
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tributary.llm import decontaminate, near_dup, secrets, tokens, toxicity
 from tributary.llm.common import table, written
 
-#: SQL can express neither trained scores nor inferred automata; tests compare the stages with brute force.
+#: SQL can express neither trained scores nor inferred automata; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
@@ -37,9 +36,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, piece ids, their number, and the text that decoding them gives."""
-    path = tokens._model_path()
-    encoded = tokens.encode_pieces(docs.select("doc_id", "lang", "source", "text"), path)
-    return tokens.decode_pieces(encoded.drop("text"), path).withColumn("n_tokens", F.size("ids").cast("long"))
+    return tokens.transcode(docs.select("doc_id", "lang", "source", "text"), tokens.model_path())
 
 
 STAGES = [
