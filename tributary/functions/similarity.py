@@ -94,17 +94,26 @@ def jaro_winkler(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    used, hits = [False] * len(b), []
+    # free places of each character of b, in order
+    places: dict[str, list[int]] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, []).append(j)
+    hits, used = [], []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                hits.append(c)
-                break
+        free = places.get(c)
+        if free:
+            for k, j in enumerate(free):
+                if j >= i - reach:
+                    if j <= i + reach:
+                        hits.append(c)
+                        used.append(j)
+                        del free[k]
+                    break
     m = len(hits)
     if not m:
         return 0.0
-    moved = sum(x != y for x, y in zip(hits, (c for c, u in zip(b, used) if u))) // 2
+    used.sort()
+    moved = sum(x != b[j] for x, j in zip(hits, used)) // 2
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4]):
@@ -114,15 +123,6 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
-def levenshtein(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, d in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
-    return row[-1]
-
-
 def fuzzy_in(token: str, pool) -> bool:
     """Whether the pool has the token, one of like length and a ratio of 80, or one that it begins or that begins it (three letters at least)."""
     if token in pool:
@@ -136,11 +136,15 @@ def fuzzy_in(token: str, pool) -> bool:
 
 
 def measure(fn, a: Column, b: Column) -> Column:
-    """One measure of two string columns as a double column."""
+    """One measure of two string columns as a double column; nulls count as empty."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([float(fn(p or "", q or "")) for p, q in zip(x, y)])
+        from .batch import MANY
+
+        many = MANY.get(fn.__name__)
+        x, y = x.fillna("").tolist(), y.fillna("").tolist()
+        return pd.Series(many(x, y) if many else [float(fn(p, q)) for p, q in zip(x, y)], dtype="float64")
 
     return run(a, b)
 

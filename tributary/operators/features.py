@@ -5,11 +5,13 @@ Set and equality features are column expressions; those that need edit similarit
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import batch
 from ..functions import similarity as S
 from ..functions import tables as T
 from ..functions.normalize import first_number, house_numbers, last_number, let, literal_array, split_words
@@ -140,38 +142,58 @@ FUZZY = ["n_ratio", "n_tsort", "n_tset", "n_partial", "n_wratio", "cc_jw", "cc_p
 _FIELDS = ["core", "concat", "alt", "name", "toks", "nums", "addr"]
 
 
-def _fuzzy_row(a: dict, b: dict) -> list[float]:
-    alt = [S.token_set_ratio(x, y) for i, x in enumerate((a["alt"], a["core"])) for j, y in enumerate((b["alt"], b["core"])) if x and y and not (i and j)]
-    present = lambda f, x, y, empty: f(x, y) if x and y else empty
-    n1, n2 = set(a["nums"].split()), set(b["nums"].split())
-    return [
-        S.ratio(a["core"], b["core"]),
-        S.token_sort_ratio(a["core"], b["core"]),
-        S.token_set_ratio(a["core"], b["core"]),
-        present(S.partial_ratio, a["core"], b["core"], 0.0),
-        S.weighted_ratio(a["core"], b["core"]),
-        100 * S.jaro_winkler(a["concat"], b["concat"]),
-        present(S.partial_ratio, a["concat"], b["concat"], 0.0),
-        float(S.levenshtein(a["concat"], b["concat"])),
-        max(alt, default=0.0),
-        S.token_set_ratio(a["name"], b["name"]),
-        present(S.token_set_ratio, a["toks"], b["toks"], -1.0),
-        present(S.token_sort_ratio, a["toks"], b["toks"], -1.0),
-        present(S.partial_ratio, a["toks"], b["toks"], -1.0),
-        present(S.token_set_ratio, a["addr"], b["addr"], -1.0),
-        max((S.ratio(x, y) for x in n1 for y in n2), default=-1.0),
-    ]
+def _fuzzy_frame(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """All measures of a batch of pairs, each in one pass over its distinct pairs; -1 or 0 where a side is empty."""
+    x, y = ({c: df[c].fillna("").tolist() for c in _FIELDS} for df in (a, b))
+
+    def given(measure, field: str, empty: float) -> np.ndarray:
+        full = np.array([bool(p and q) for p, q in zip(x[field], y[field])], dtype=bool)
+        return np.where(full, measure(x[field], y[field]), empty)
+
+    best_alt = np.zeros(len(a))
+    for p, q in (("alt", "alt"), ("alt", "core"), ("core", "alt")):
+        best_alt = np.maximum(best_alt, batch.token_set_ratio(x[p], y[q]))  # 0 where a side is empty
+    owner, left, right = [], [], []
+    for i, (n1, n2) in enumerate(zip(x["nums"], y["nums"])):
+        for u in set(n1.split()):
+            for v in set(n2.split()):
+                owner.append(i)
+                left.append(u)
+                right.append(v)
+    numbers = np.full(len(a), -1.0)
+    if owner:
+        np.maximum.at(numbers, owner, batch.ratio(left, right))
+    return pd.DataFrame({
+        "n_ratio": batch.ratio(x["core"], y["core"]),
+        "n_tsort": batch.token_sort_ratio(x["core"], y["core"]),
+        "n_tset": batch.token_set_ratio(x["core"], y["core"]),
+        "n_partial": given(batch.partial_ratio, "core", 0.0),
+        "n_wratio": batch.weighted_ratio(x["core"], y["core"]),
+        "cc_jw": 100 * batch.jaro_winkler(x["concat"], y["concat"]),
+        "cc_partial": given(batch.partial_ratio, "concat", 0.0),
+        "n_alt_best": best_alt,
+        "nm_tset_full": batch.token_set_ratio(x["name"], y["name"]),
+        "a_tset": given(batch.token_set_ratio, "toks", -1.0),
+        "a_tsort": given(batch.token_sort_ratio, "toks", -1.0),
+        "a_partial": given(batch.partial_ratio, "toks", -1.0),
+        "a_full_tset": given(batch.token_set_ratio, "addr", -1.0),
+        "num_fuzzy": numbers,
+    })
 
 
 def fuzzy_features(a: Column, b: Column) -> Column:
-    """struct of the edit-similarity features of two normalised records (structs with core, concat, alt, name, toks, nums, addr), in one Arrow UDF."""
+    """struct of the edit-similarity features of two normalised records (structs with core, concat, alt, name, toks, nums, addr): one Arrow UDF, and Spark's own
 
-    @F.pandas_udf(", ".join(f"{n} double" for n in FUZZY))
+    Levenshtein distance.
+    """
+    names = [n for n in FUZZY if n != "cc_lev"]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        rows = [_fuzzy_row(p, q) for p, q in zip(x[_FIELDS].to_dict("records"), y[_FIELDS].to_dict("records"))]
-        return pd.DataFrame(rows, columns=FUZZY)
+        return _fuzzy_frame(x, y)[names]
 
-    return run(F.struct(*(a[f].alias(f) for f in _FIELDS)), F.struct(*(b[f].alias(f) for f in _FIELDS)))
+    found = run(F.struct(*(a[f].alias(f) for f in _FIELDS)), F.struct(*(b[f].alias(f) for f in _FIELDS)))
+    return found.withField("cc_lev", F.levenshtein(a["concat"], b["concat"]).cast("double"))
 
 
 def soft_idf(pairs: DataFrame, idf: DataFrame) -> DataFrame:
@@ -181,7 +203,11 @@ def soft_idf(pairs: DataFrame, idf: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def best(words: pd.Series, others: pd.Series) -> pd.Series:
-        return pd.Series([max((S.ratio(w, o) for o in pool), default=0.0) for w, pool in zip(words, others)], dtype="float64")
+        out, sizes = np.zeros(len(words)), [len(pool) for pool in others]
+        if sum(sizes):
+            at = np.repeat(np.arange(len(words)), sizes)
+            np.maximum.at(out, at, batch.ratio([words.iloc[i] for i in at], [o for pool in others for o in pool]))
+        return pd.Series(out)
 
     words = lambda c: F.array_distinct(split_words(F.col(c)))
     each = pairs.select("key", words("core_1").alias("t1"), words("core_2").alias("t2")).select("key", "t1", "t2", F.explode("t1").alias("token"))
