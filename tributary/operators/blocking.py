@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 NOT_FOUND = 99
 #: Tokens of the right side in one block of nearest_tokens, about.
 BLOCK_ROWS = 4_000_000
+#: Records of either side in one task of nearest, about.
+VECTORS = 20_000
 
 
 def token_frequency(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -68,11 +70,12 @@ def union_passes(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("id_1", "id_2", *fill("blk"), *fill("emb"))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, blocks: int = 4, rank: str = "rank") -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, rank: str = "rank") -> DataFrame:
     """(id_1, id_2, score, rank): the k records of right with the largest dot product for each of left, exact, within a part.
 
-    left and right have (part, id, vector) with unit vectors. right is dealt into blocks, left is copied to each; a block is one matrix product and hands
-    on k candidates for each record, so no task holds all pairs and none but the best leave it. A record isn't its own neighbour.
+    left and right have (part, id, vector) with unit vectors. Each side is dealt into blocks of about VECTORS records by its counted size, and each block meets
+    each of the other side; a task is one matrix product and hands on k candidates for each record, so no task grows with the tables. A record isn't its own
+    neighbour.
     """
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -94,20 +97,30 @@ def nearest(left: DataFrame, right: DataFrame, k: int, blocks: int = 4, rank: st
             out.append(found[found["score"] > -np.inf])
         return pd.concat(out) if out else empty
 
-    side = lambda df, n, at: df.select("part", "id", "vector", F.lit(n).alias("side"), at.alias("block"))
-    dealt = side(right, 2, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    copied = side(left, 1, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = copied.unionByName(dealt).groupBy("part", "block").applyInPandas(block, "id_1 long, id_2 long, score double")
+    blocks, slices = 1 + _largest(right) // VECTORS, 1 + _largest(left) // VECTORS
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = right.select("part", "id", "vector", F.lit(2).alias("side"), spread(blocks).alias("block"), every(slices).alias("slice"))
+    copied = left.select("part", "id", "vector", F.lit(1).alias("side"), every(blocks).alias("block"), spread(slices).alias("slice"))
+    found = copied.unionByName(dealt).groupBy("part", "block", "slice").applyInPandas(block, "id_1 long, id_2 long, score double")
     return best(found, "id_1", "id_2", "score", k, rank)
 
 
-def token_bags(left: DataFrame, right: DataFrame, max_df: int) -> DataFrame:
-    """(part, side, id, tokens, weights): what token_weights gives, a row for each record that has a token below the cap; tokens as hashes."""
-    both = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(2)))
-    size = both.groupBy("part").agg(F.countDistinct("side", "id").alias("n"))
-    capped = token_frequency(left, right).where(F.col("df") <= max_df)
+def _largest(df: DataFrame) -> int:
+    """Rows of the largest part."""
+    return df.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+
+
+def token_bags(records: DataFrame, max_df: int) -> DataFrame:
+    """(part, side, id, tokens, weights): what token_weights gives, a row for each record that has a token below the cap; tokens as hashes.
+
+    records: (part, side, id, tokens), tokens distinct for a record.
+    """
+    size = records.where(F.size("tokens") > 0).groupBy("part").agg(F.count("*").alias("n"))
+    each = records.select("part", "side", "id", F.explode("tokens").alias("token"))
+    capped = each.groupBy("part", "token").agg(F.count("*").alias("df")).where(F.col("df") <= max_df)
     idf = capped.join(size, "part").select("part", "token", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
-    bags = both.join(idf, ["part", "token"]).groupBy("part", "side", "id").agg(F.collect_list(F.struct(F.xxhash64("token").alias("token"), "idf")).alias("bag"))
+    bags = each.join(idf, ["part", "token"]).groupBy("part", "side", "id").agg(F.collect_list(F.struct(F.xxhash64("token").alias("token"), "idf")).alias("bag"))
     norm = F.sqrt(F.aggregate("bag", F.lit(0.0), lambda s, x: s + x["idf"] * x["idf"]))
     weights = F.transform("bag", lambda x: F.when(F.col("norm") > 0, x["idf"] / F.col("norm")).otherwise(F.lit(0.0)))
     return bags.withColumn("norm", norm).select("part", "side", "id", F.col("bag.token").alias("tokens"), weights.alias("weights"))

@@ -69,7 +69,8 @@ def cap_per_source(selected: DataFrame, limits: dict[str, int]) -> DataFrame:
 
 def select_by_policy(scored: DataFrame, policy: DataFrame, group: str) -> DataFrame:
     """Best owners whose p reaches the threshold of their group; policy has (group, threshold). Groups without a policy select nothing."""
-    return best_owner(scored).join(F.broadcast(policy), group).where(F.col("p") >= F.col("threshold")).drop("threshold")
+    policy = F.broadcast(policy) if policy.count() <= 100_000 else policy
+    return best_owner(scored).join(policy, group).where(F.col("p") >= F.col("threshold")).drop("threshold")
 
 
 def prune(scored: DataFrame, least: float, most: int) -> DataFrame:
@@ -98,10 +99,19 @@ def explode_lists(lists: DataFrame) -> DataFrame:
 
 
 def apply_corrections(selected: DataFrame, log: DataFrame) -> DataFrame:
-    """The selection after a log of (seq, s1_id, cand_id, action 'add' or 'remove'): the last action on a pair holds."""
-    last = log.groupBy("s1_id", "cand_id").agg(F.max_by("action", "seq").alias("action"))
-    kept = selected.select("s1_id", "cand_id").join(last, ["s1_id", "cand_id"], "left_anti")
-    return kept.unionByName(last.where("action = 'add'").select("s1_id", "cand_id"))
+    """(s1_id, cand_id, at): the selection after a log of (seq, s1_id, cand_id, action 'add' or 'remove').
+
+    A log that removes a pair which isn't there, or adds a record that has an owner, is refused with a ValueError that names its first fault. `at` orders an
+    entity's records as a replay would leave them: those of the selection by their own `at` (0 where it has none), then added ones by seq.
+    """
+    fault = correction_faults(selected, log).orderBy("seq").first()
+    if fault:
+        raise ValueError(f"correction {fault.seq}: {fault.fault}")
+    last = log.groupBy("s1_id", "cand_id").agg(F.max(F.struct(F.col("seq").cast("long").alias("seq"), "action")).alias("last"))
+    place = (F.col("at") if "at" in selected.columns else F.lit(0)).cast("long")
+    kept = selected.select("s1_id", "cand_id", F.struct(F.lit(0).alias("added"), place.alias("place")).alias("at")).join(last, ["s1_id", "cand_id"], "left_anti")
+    added = last.where("last.action = 'add'").select("s1_id", "cand_id", F.struct(F.lit(1).alias("added"), F.col("last.seq").alias("place")).alias("at"))
+    return kept.unionByName(added)
 
 
 def correction_faults(selected: DataFrame, log: DataFrame) -> DataFrame:
@@ -124,8 +134,71 @@ def overlay(scored: DataFrame, rescored: DataFrame) -> DataFrame:
 
 
 def blend(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Mean p of two scorings of the same pairs."""
-    return a.join(b.select("s1_id", "cand_id", F.col("p").alias("p_b")), ["s1_id", "cand_id"]).select("s1_id", "cand_id", ((F.col("p") + F.col("p_b")) / 2).alias("p"))
+    """Mean p of two scorings of the same pairs. Fails when run if either lacks a pair of the other."""
+    both = a.select("s1_id", "cand_id", "p").join(b.select("s1_id", "cand_id", F.col("p").alias("p_b")), ["s1_id", "cand_id"], "full_outer")
+    scored = lambda c: F.coalesce(c, F.raise_error(F.lit("the two scorings aren't of the same pairs")).cast("double"))
+    return both.select("s1_id", "cand_id", ((scored(F.col("p")) + scored(F.col("p_b"))) / 2).alias("p"))
+
+
+def lookup(rows: DataFrame, dimension: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with `value` of their key from a dimension (key, value). Fails when run if a key is missing from the dimension or stands there twice."""
+    one = dimension.groupBy(key).agg(F.count("*").alias("_n"), F.min(value).alias(value))
+    error = lambda text: F.raise_error(F.concat(F.lit(text), F.col(key).cast("string")))
+    found = rows.join(one, key, "left")
+    checked = F.when(F.col("_n") == 1, F.col(value)).when(F.col("_n") > 1, error("key with several rows: ").cast(dimension.schema[value].dataType)).otherwise(error("unknown key: ").cast(dimension.schema[value].dataType))
+    return found.withColumn(value, checked).drop("_n")
+
+
+def list_statistics(lists: DataFrame) -> DataFrame:
+    """One row for id lists (s1_id, ids, n_ids): entities, ids, longest and mean list, and empty lists."""
+    n = F.col("n_ids").cast("long")
+    return lists.agg(F.count("*").alias("n_lists"), F.coalesce(F.sum(n), F.lit(0)).alias("n_ids"), F.coalesce(F.max(n), F.lit(0)).alias("longest"), F.avg(n).alias("mean"), F.count_if(n == 0).alias("n_empty"))
+
+
+def matches_by_group(entities: DataFrame, selected: DataFrame, group: str) -> DataFrame:
+    """(group, n_entities, n_matched, n_pairs, pairs_per_entity) of entities (s1_id, group), groups without a match too."""
+    counts = selected.groupBy("s1_id").agg(F.count("*").alias("n"))
+    rows = entities.select("s1_id", group).distinct().join(counts, "s1_id", "left")
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    return rows.groupBy(group).agg(F.count("*").alias("n_entities"), F.count("n").alias("n_matched"), total.alias("n_pairs"), (total / F.count("*")).alias("pairs_per_entity"))
+
+
+def by_locality(records: DataFrame, address: str, name: str, files: int) -> DataFrame:
+    """records in ranges of (last address word, name), sorted within each: neighbours are near twins. Records without address words come first."""
+    last = F.coalesce(F.element_at(F.filter(F.split(address, " "), lambda w: w != ""), -1), F.lit(""))
+    placed = records.withColumn("locality", last)
+    return placed.repartitionByRange(files, "locality", name).sortWithinPartitions("locality", name)
+
+
+def hard_pairs(pairs: DataFrame, truth: DataFrame, measures: list[str], most: int) -> DataFrame:
+    """pairs with label, those that are true or among the `most` best of their entity by any of the measures (nulls last, then by record)."""
+    keep = F.lit(False)
+    for m in measures:
+        rank = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.round(m, 9).desc_nulls_last(), "cand_id"))
+        pairs = pairs.withColumn(f"_{m}", rank)
+        keep = keep | (F.col(f"_{m}") <= most)
+    marked = truth.select("s1_id", "cand_id").distinct().withColumn("hit", F.lit(1))
+    out = pairs.join(marked, ["s1_id", "cand_id"], "left").withColumn("label", F.coalesce("hit", F.lit(0)))
+    return out.where(keep | (F.col("label") == 1)).drop("hit", *(f"_{m}" for m in measures))
+
+
+def select_by_scores(scored: dict[str, DataFrame], policy: dict[str, tuple[str, float]], entities: DataFrame, group: str, weight: float = 0.0) -> DataFrame:
+    """(s1_id, cand_id, p): each group's entities decided on the score table and by the threshold that the policy (group -> (table, threshold)) names.
+
+    Pairs compete first where weight is above 0. A group of entities without a policy is an error.
+    """
+    missing = entities.where(~F.col(group).isin(list(policy))).select(group).distinct().limit(5).collect()
+    if missing:
+        raise ValueError(f"no policy for {sorted(str(r[0]) for r in missing)}")
+    out = None
+    for name in sorted({table for table, _ in policy.values()}):
+        mine = {g: t for g, (table, t) in policy.items() if table == name}
+        part = scored[name].join(entities.select("s1_id", group).where(F.col(group).isin(list(mine))), "s1_id")
+        part = best_owner(compete(part, weight) if weight else part)
+        threshold = F.element_at(F.create_map(*(F.lit(x) for pair in mine.items() for x in pair)), F.col(group))
+        part = part.where(F.col("p") >= threshold).select("s1_id", "cand_id", "p")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def replace_groups(base: DataFrame, other: DataFrame, group: str, values) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,6 +86,33 @@ def count_signature(selected: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("n"), (F.avg("same") / F.when(F.avg("other") > 0, F.avg("other"))).alias("r"))
 
 
+def true_share(signature: DataFrame, constants: dict[str, tuple[float, float]]) -> DataFrame:
+    """count_signature with `share`, the share of true pairs of each source: (u - r) / (u - t), constants naming each source's (u, t), the value of r for unrelated and for true pairs."""
+    of = lambda k: F.element_at(F.create_map(*(F.lit(x) for s, pair in constants.items() for x in (s, float(pair[k])))), F.col("source"))
+    return signature.withColumn("share", (of(0) - F.col("r")) / (of(0) - of(1)))
+
+
+def mode_sweep(modes: dict[str, DataFrame], truth: DataFrame, entities: DataFrame) -> DataFrame:
+    """(mode, f05, n_selected) of several selections (s1_id, cand_id), by name, in one pass."""
+    every = None
+    for name, selected in modes.items():
+        part = selected.select("s1_id", "cand_id", F.lit(name).alias("mode"))
+        every = part if every is None else every.unionByName(part)
+    pred = label_pairs(every, truth).groupBy("mode", "s1_id").agg(F.count("*").alias("n_pred"), F.sum("label").alias("tp"))
+    true = truth.groupBy("s1_id").agg(F.count("*").alias("n_true"))
+    grid = F.explode(F.array(*(F.lit(m) for m in modes)))
+    rows = entities.select("s1_id").distinct().join(true, "s1_id", "left").withColumn("mode", grid).join(pred, ["mode", "s1_id"], "left").na.fill(0)
+    return rows.groupBy("mode").agg(F.avg(f05(F.col("tp"), F.col("n_pred"), F.col("n_true"))).alias("f05"), F.sum("n_pred").alias("n_selected"))
+
+
+def misses(truth: DataFrame, candidates: DataFrame, entities: DataFrame, group: str) -> DataFrame:
+    """(group, n_true, n_missed, miss_rate): true pairs that are no candidates, by the group of their entity (s1_id, group)."""
+    found = candidates.select("s1_id", "cand_id").distinct().withColumn("hit", F.lit(1))
+    rows = truth.join(entities.select("s1_id", group), "s1_id").join(found, ["s1_id", "cand_id"], "left")
+    missed = F.count_if(F.col("hit").isNull())
+    return rows.groupBy(group).agg(F.count("*").alias("n_true"), missed.alias("n_missed"), (missed / F.count("*")).alias("miss_rate"))
+
+
 def validate(lists: DataFrame, required: DataFrame, known: DataFrame, own_prefix: str = "S1-", prefixes: tuple[str, ...] = ("S2-", "S3-")) -> DataFrame:
     """(rule, n, example) of every rule, n 0 where it holds. lists: (s1_id, ids); required: (s1_id); known: (cand_id)."""
     rows = lists.select("s1_id", F.filter(F.split("ids", ","), lambda x: x != "").alias("ids"))
@@ -110,6 +137,55 @@ def validate(lists: DataFrame, required: DataFrame, known: DataFrame, own_prefix
     return out
 
 
+#: Findings that don't make an answer wrong.
+WARNINGS = ("no candidate file", "ids not checked", "matches that are no candidates")
+
+
+def validate_file(spark: SparkSession, path: str, required: DataFrame, known: DataFrame | None, columns: tuple[str, str] = ("source1_entity_id", "matched_entity_ids")) -> tuple[DataFrame, DataFrame]:
+    """Findings (rule, n, example) for a written id-list file or folder, and its lists (s1_id, ids).
+
+    Besides the rules of validate(): an empty file; a file whose header (case and spaces aside) isn't the two columns with a tab between; lines without a tab.
+    Blank lines are ignored. Without `known` ids no unknown ones are looked for.
+    """
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+    names = F.transform(F.split(F.lower("value"), "\t"), lambda c: F.trim(c))
+    is_header = names == F.array(*(F.lit(c) for c in columns))
+    marked = lines.where(F.trim("value") != "").withColumn("header", is_header)
+    headers = marked.groupBy("file").agg(F.max(F.col("header").cast("int")).alias("has"), F.min("value").alias("x"))
+    body = marked.where("NOT header")
+    cut = F.instr("value", "\t")
+    rows = body.where(cut > 0).select(F.substring_index("value", "\t", 1).alias("s1_id"), F.expr("substring(value, instr(value, '\t') + 1)").alias("ids"))
+    empty = lines.agg((F.count("*") == 0).cast("long").alias("n")).select(F.lit("empty file").alias("rule"), "n", F.lit("").alias("example"))
+    row = lambda rule, offenders: offenders.agg(F.count("*").alias("n"), F.coalesce(F.min("x"), F.lit("")).alias("example")).select(F.lit(rule).alias("rule"), "n", "example")
+    found = validate(rows, required, known if known is not None else rows.select(F.explode(F.split("ids", ",")).alias("cand_id")))
+    found = found.unionByName(empty).unionByName(row("wrong header", headers.where("has = 0"))).unionByName(row("lines without a tab", body.where(cut == 0).select(F.col("value").alias("x"))))
+    return found, rows
+
+
+def validate_answer(spark: SparkSession, matches: str, required: DataFrame, known: DataFrame | None = None, candidates: str | None = None) -> DataFrame:
+    """(file, rule, n, example, severity) for a match file and, if there is one, a candidate file. Only findings of severity error make the answer wrong."""
+    found, lists = validate_file(spark, matches, required, known)
+    out = found.withColumn("file", F.lit("matches"))
+    note = lambda rule, n: spark.createDataFrame([("answer", rule, n, "")], "file string, rule string, n long, example string")
+    if known is None:
+        out = out.unionByName(note("ids not checked", 1))
+    if candidates is None:
+        out = out.unionByName(note("no candidate file", 1))
+    else:
+        more, pool = validate_file(spark, candidates, required, known, ("source1_entity_id", "candidate_entity_ids"))
+        pairs = lambda rows: rows.select("s1_id", F.explode(F.split("ids", ",")).alias("cand_id")).where("cand_id <> ''")
+        outside = not_contained(pairs(lists), pairs(pool)).select(F.concat_ws(" ", "s1_id", "cand_id").alias("x"))
+        outside = outside.agg(F.count("*").alias("n"), F.coalesce(F.min("x"), F.lit("")).alias("example")).select(F.lit("answer").alias("file"), F.lit("matches that are no candidates").alias("rule"), "n", "example")
+        out = out.unionByName(more.withColumn("file", F.lit("candidates"))).unionByName(outside)
+    severity = F.when(F.col("n") == 0, "none").when(F.col("rule").isin(*WARNINGS), "warning").otherwise("error")
+    return out.select("file", "rule", "n", "example", severity.alias("severity"))
+
+
+def exit_code(findings: DataFrame) -> int:
+    """1 if there is an error, else 0."""
+    return int(not findings.where("severity = 'error'").isEmpty())
+
+
 def not_contained(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     """Matches that are no candidates."""
     return matches.select("s1_id", "cand_id").join(candidates, ["s1_id", "cand_id"], "left_anti")

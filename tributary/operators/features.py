@@ -414,12 +414,12 @@ def siblings(pairs: DataFrame, vectors: DataFrame, anchor: float = 0.9, records:
 def attach_score(pairs: DataFrame, scores: DataFrame, name: str, least_share: float = 0.999) -> DataFrame:
     """pairs with another model's score `name`, its rank and its gap to the entity's best. Fails when run if less than least_share of the pairs have one."""
     out = pairs.join(scores.select("s1_id", "cand_id", F.col("p").alias(name)), ["s1_id", "cand_id"], "left")
-    share = F.avg(F.col(name).isNotNull().cast("double")).over(Window.partitionBy(F.pmod(F.xxhash64("s1_id"), F.lit(64))))
-    # checked in 64 parts of the entities, so that no window holds all rows
-    checked = F.when(F.isnull(F.assert_true(share >= 2 * least_share - 1, F.lit(f"too few pairs have a {name} score"))), F.col(name))
+    share = out.agg(F.avg(F.col(name).isNotNull().cast("double")).alias("_share"))  # one row
+    out = out.join(F.broadcast(share))
+    checked = F.when(F.col("_share") >= least_share, F.col(name)).otherwise(F.raise_error(F.lit(f"too few pairs have a {name} score")).cast("double"))
     whole = Window.partitionBy("s1_id")
     order = whole.orderBy(F.round(name, 9).desc(), "cand_id")
-    return out.withColumn(name, checked).withColumns({f"{name}_rank": F.row_number().over(order), f"{name}_gap": F.col(name) - F.max(name).over(whole)})
+    return out.withColumn(name, checked).drop("_share").withColumns({f"{name}_rank": F.row_number().over(order), f"{name}_gap": F.col(name) - F.max(name).over(whole)})
 
 
 def ambiguity(pairs: DataFrame, left: DataFrame, right: DataFrame, column: str) -> DataFrame:

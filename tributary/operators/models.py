@@ -6,10 +6,13 @@ random projection for the text encoder, logistic regression on token interaction
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,31 +53,68 @@ def two_folds(labelled: DataFrame, features: list[str], key: str = "s1_id", **op
 def text_vectors(df: DataFrame, text: str, width: int = 64, buckets: int = 1 << 16, seed: int = 11) -> DataFrame:
     """df with `vector`: unit vectors from TF-IDF weighted hashed words and a seeded random projection. Texts without words get a zero vector.
 
-    The projection matrix is buckets x width numbers and is made again from its seed in every task.
+    `buckets` weights come to the driver, whatever the corpus; the projection matrix is buckets x width numbers and is made from its seed once in a worker.
     """
-    words = df.withColumn("_words", split_words(F.lower(F.coalesce(F.col(text), F.lit("")))))
-    hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=buckets).transform(words)
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(hashed).transform(hashed)
+    words = split_words(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    hashed = df.withColumn("_at", F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
+    seen = hashed.select(F.explode(F.array_distinct("_at")).alias("at")).groupBy("at").agg(F.count("*").alias("df")).toArrow()
+    weight = np.full(buckets, np.log(df.count() + 1.0))
+    weight[seen.column("at").to_numpy()] -= np.log(seen.column("df").to_numpy() + 1.0)
+    shipped = df.sparkSession.sparkContext.broadcast(weight.astype(np.float32))
     schema = df.withColumn("vector", F.array().cast("array<float>")).schema
-    return _projected(weighted, df, schema, width, buckets, seed)
-
-
-def _projected(rows: DataFrame, df: DataFrame, schema, width: int, buckets: int, seed: int) -> DataFrame:
-    columns = df.columns
 
     def run(batches):
-        matrix = np.random.default_rng(seed).standard_normal((buckets, width)).astype(np.float32)
-        for pdf in batches:
-            out = np.zeros((len(pdf), width), dtype=np.float32)
-            for i, (at, x) in enumerate(zip(pdf.pop("_at"), pdf.pop("_x"))):
-                if len(at):
-                    v = np.asarray(x, dtype=np.float32) @ matrix[np.asarray(at, dtype=np.int64)]
+        matrix = _projection(buckets, width, seed)
+        for batch in batches:
+            lists = batch.column(batch.schema.names.index("_at"))
+            sizes = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()])
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            out = np.zeros((batch.num_rows, width), dtype=np.float32)
+            ends = np.cumsum(sizes)
+            for i, (begin, end) in enumerate(zip(ends - sizes, ends)):
+                if end > begin:
+                    at, n = np.unique(flat[begin:end], return_counts=True)
+                    v = (n * shipped.value[at]).astype(np.float32) @ matrix[at]
                     out[i] = v / max(float(np.linalg.norm(v)), 1e-9)
-            pdf["vector"] = list(out)
-            yield pdf[[*columns, "vector"]]
+            rest = [c for c in batch.schema.names if c != "_at"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(list(out), pa.list_(pa.float32()))], names=[*rest, "vector"])
+
+    return hashed.mapInArrow(run, schema)
+
+
+@functools.lru_cache(maxsize=1)
+def _projection(buckets: int, width: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((buckets, width)).astype(np.float32)
+
+
+#: Columns of the second stage by group; a model's tag has one suffix for each group beyond the base.
+FEATURE_GROUPS = {
+    "base": ["p", "s1_max", "s1_sum", "s1_rank", "p_gap", "s1_n_hi", "s1_n_mid", "sib_n", "sib_cos_max", "sib_cos_mean", "sib_addr_max", "sib_name_max", "sib_addr_eq", "sib_name_eq", "c_no_addr"],
+    "ce": ["ce", "ce_rank", "ce_gap"],
+    "ce2": ["ce2", "ce2_rank", "ce2_gap"],
+    "x": ["name_eq", "n_name_c", "n_name_a", "name_eq_uniq", "core_eq", "n_core_c", "n_core_a", "core_eq_uniq"],
+    "tw": ["lg_rel", "lg_n1", "lg_n2", "lg_seq_eq", "hn_has1", "hn_has2", "hn_eq", "hn_absdiff", "hn_reldiff", "hn_digit_ed", "hn_prefix", "hn_samelen", "hn_best_absdiff", "hn_n_extra", "hn_frac_in"]
+    + ["nt_miss", "nt_extra", "nt_sub", "nt_miss_first", "nt_order_eq", "st_miss", "st_extra"],
+    "d": ["n_cc_a", "n_cc_c", "city_eq", "n_st_a", "t_name", "t_num", "t_street"],
+}
+
+
+def feature_set(groups: list[str]) -> list[str]:
+    """Columns of a second-stage model with these groups besides the base; columns of the twin group carry the prefix tw_."""
+    unknown = set(groups) - set(FEATURE_GROUPS)
+    if unknown:
+        raise ValueError(f"no such feature group: {sorted(unknown)}")
+    return [f"tw_{c}" if g == "tw" else c for g in FEATURE_GROUPS if g == "base" or g in groups for c in FEATURE_GROUPS[g]]
+
+
+def model_tag(tag: str, ce: bool = False, second: str = "", names: bool = False, dense: bool = False, no_ghosts: bool = False) -> str:
+    """Name of a second-stage model: the first stage's tag and a suffix for each group of features that is on."""
+    return tag + "ce" * ce + second + "x" * names + "d" * dense + "g" * no_ghosts
+
 
-    sparse = F.udf(lambda v: (v.indices.tolist(), v.values.tolist()), "struct<at: array<int>, x: array<double>>", useArrow=False)("_tfidf")
-    return rows.select(*columns, sparse.alias("_s")).select(*columns, F.col("_s.at").alias("_at"), F.col("_s.x").alias("_x")).mapInPandas(run, schema)
+def attach(pairs: DataFrame, features: DataFrame, prefix: str = "tw_", on: tuple[str, ...] = ("s1_id", "cand_id")) -> DataFrame:
+    """pairs with every other column of features under a prefix; pairs without a row there have nulls."""
+    return pairs.join(features.select(*on, *(F.col(c).alias(prefix + c) for c in features.columns if c not in on)), list(on), "left")
 
 
 def interactions(a: Column, b: Column) -> Column:

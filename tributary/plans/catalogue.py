@@ -1,6 +1,6 @@
 """Named driver queries and the DuckDB SQL that gives the same rows.
 
-Queries whose measure SQL can't express have no SQL; tests hold them against small independent specifications.
+Queries that SQL can't express (models, text vectors, native scripts) have no SQL; what holds for them is tested.
 """
 
 from __future__ import annotations
@@ -32,4 +32,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import decision_queries, feature_queries, record_queries  # noqa: E402,F401
+from . import answer_queries, decision_queries, feature_queries, record_queries  # noqa: E402,F401

@@ -8,12 +8,24 @@ from ..operators import decide as D
 from ..operators import evaluate as E
 from ..operators import features as X
 from . import inputs as I
+from . import sql_text as Q
 from .catalogue import query
 
 SCORED, TRUTH, ENTITIES, BEST = I.SCORED, I.TRUTH, I.ENTITIES, I.BEST
 COMPETED = "competed AS (SELECT s1_id, cand_id, o / (1 + o + 2.0::DOUBLE * (sum(o) OVER (PARTITION BY cand_id) - o)) AS p FROM (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6)) AS o FROM scored))"
 
 
+_SOME = " WHERE (l_orderkey * 7 + l_partkey) % 2003 <> 0"
+FULL_SCORES = "full_scores AS (SELECT l_orderkey AS s1_id, l_partkey AS cand_id, max((CAST(round(l_extendedprice * 100) AS BIGINT) % 9973)::DOUBLE / 9973.0::DOUBLE) AS p2 FROM lineitem WHERE (l_orderkey * 7 + l_partkey) % 2003 <> 0 GROUP BY 1, 2)"
+
+
+def _full_scores(spark, sf_dir, some=None):
+    """Another model's score of all pairs but about one in two thousand, or of those that `some` picks."""
+    p = (F.round(F.col("l_extendedprice") * 100).cast("long") % 9973).cast("double") / F.lit(9973.0)
+    rows = I.table(spark, sf_dir, "lineitem").where((F.col("l_orderkey") * 7 + F.col("l_partkey")) % 2003 != 0 if some is None else some)
+    return rows.groupBy(F.col("l_orderkey").alias("s1_id"), F.col("l_partkey").alias("cand_id")).agg(F.max(p).alias("p"))
+
+
 def six(df, *columns):
     """Rounded to six places for comparison between engines."""
     return df.withColumns({c: F.round(c, 6) for c in columns})
@@ -113,14 +125,15 @@ def pseudo_pairs(spark, sf_dir):
     return D.unique_claims(both)
 
 
-@query("hard_negatives", f"""WITH {SCORED}, {TRUTH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(p, 9) DESC, cand_id) AS n FROM scored)
-SELECT r.s1_id, r.cand_id, CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS label FROM ranked r LEFT JOIN truth t ON r.s1_id = t.s1_id AND r.cand_id = t.cand_id WHERE n <= 2 OR t.s1_id IS NOT NULL""")
+@query("hard_negatives", f"""WITH {SCORED}, {TRUTH}, {FULL_SCORES}, ranked AS (SELECT s.s1_id, s.cand_id, row_number() OVER (PARTITION BY s.s1_id ORDER BY round(p, 9) DESC, s.cand_id) AS n, row_number() OVER (PARTITION BY s.s1_id ORDER BY round(p2, 9) DESC NULLS LAST, s.cand_id) AS m FROM scored s LEFT JOIN full_scores r ON s.s1_id = r.s1_id AND s.cand_id = r.cand_id)
+SELECT r.s1_id, r.cand_id, CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS label FROM ranked r LEFT JOIN truth t ON r.s1_id = t.s1_id AND r.cand_id = t.cand_id WHERE {I.sql_role('CAST(r.s1_id AS VARCHAR)')} = 'fit' AND (n <= 2 OR m <= 2 OR t.s1_id IS NOT NULL)""")
 def hard_negatives(spark, sf_dir):
-    """Training pairs: all positives and each entity's best negatives."""
-    from pyspark.sql.window import Window
+    """Training pairs of the entities of role fit: all positives, and the best negatives by either of two measures."""
+    from ..functions.normalize import role
 
-    ranked = I.scored(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("s1_id").orderBy(F.round("p", 9).desc(), "cand_id")))
-    return E.label_pairs(ranked, I.truth(spark, sf_dir)).where("n <= 2 OR label = 1").select("s1_id", "cand_id", "label")
+    pairs = X.attach_score(I.scored(spark, sf_dir), _full_scores(spark, sf_dir), "ce")
+    chosen = D.hard_pairs(pairs, I.truth(spark, sf_dir), ["p", "ce"], 2)
+    return chosen.where(role(F.col("s1_id").cast("string")) == "fit").select("s1_id", "cand_id", "label")
 
 
 @query("exclusive_negatives", f"""WITH {SCORED}, {TRUTH} SELECT s.s1_id, s.cand_id, s.p, t.s1_id AS owner FROM scored s JOIN truth t ON s.cand_id = t.cand_id AND s.s1_id <> t.s1_id WHERE s.p >= 0.9""")
@@ -147,11 +160,10 @@ def label_pairs(spark, sf_dir):
     return E.label_pairs(I.scored(spark, sf_dir), I.truth(spark, sf_dir))
 
 
-@query("attach_score", f"""WITH {SCORED}, {I.OTHER_SCORES}, best AS (SELECT s.s1_id, s.cand_id, s.p, r.p2 AS ce FROM scored s LEFT JOIN rescored r ON s.s1_id = r.s1_id AND s.cand_id = r.cand_id)
+@query("attach_score", f"""WITH {SCORED}, {FULL_SCORES}, best AS (SELECT s.s1_id, s.cand_id, s.p, r.p2 AS ce FROM scored s LEFT JOIN full_scores r ON s.s1_id = r.s1_id AND s.cand_id = r.cand_id)
 SELECT s1_id, cand_id, p, ce, row_number() OVER (PARTITION BY s1_id ORDER BY round(ce, 9) DESC NULLS LAST, cand_id) AS ce_rank, round(ce - max(ce) OVER (PARTITION BY s1_id), 6) AS ce_gap FROM best""")
 def attach_score(spark, sf_dir):
-    scores = I.rescored(spark, sf_dir).withColumnRenamed("p2", "p")
-    return six(X.attach_score(I.scored(spark, sf_dir), scores, "ce", least_share=0.0), "ce_gap")
+    return six(X.attach_score(I.scored(spark, sf_dir), _full_scores(spark, sf_dir), "ce"), "ce_gap")
 
 
 @query("overlay_score", f"WITH {SCORED}, {I.OTHER_SCORES} SELECT s1_id, cand_id, coalesce(p2, p) AS p FROM scored LEFT JOIN rescored USING (s1_id, cand_id)")
@@ -159,9 +171,9 @@ def overlay_score(spark, sf_dir):
     return D.overlay(I.scored(spark, sf_dir), I.rescored(spark, sf_dir))
 
 
-@query("blend_scores", f"WITH {SCORED}, {I.OTHER_SCORES} SELECT s1_id, cand_id, round((p + p2) / 2, 6) AS p FROM scored JOIN rescored USING (s1_id, cand_id)")
+@query("blend_scores", f"WITH {SCORED}, {FULL_SCORES.replace(_SOME, '')} SELECT s1_id, cand_id, round((p + p2) / 2, 6) AS p FROM scored JOIN full_scores USING (s1_id, cand_id)")
 def blend_scores(spark, sf_dir):
-    return six(D.blend(I.scored(spark, sf_dir), I.rescored(spark, sf_dir).withColumnRenamed("p2", "p")), "p")
+    return six(D.blend(I.scored(spark, sf_dir), _full_scores(spark, sf_dir, F.lit(True))), "p")
 
 
 def _competition_sql(key: str) -> str:
@@ -192,43 +204,44 @@ def context_features(spark, sf_dir):
     return six(X.context(I.scored(spark, sf_dir)), "s1_max", "s1_sum", "p_gap")
 
 
-@query("sibling_features", f"""WITH {SCORED}, mapped AS (SELECT DISTINCT s1_id % 500 AS s1_id, cand_id % 500 AS cand_id FROM scored), sc AS (SELECT m.*, (abs(hash_p) % 1000)::DOUBLE / 1000.0::DOUBLE AS p FROM (SELECT *, (s1_id * 31 + cand_id * 17) AS hash_p FROM mapped) m),
-sib AS (SELECT a.s1_id, a.cand_id, b.cand_id AS sib FROM sc a JOIN sc b ON a.s1_id = b.s1_id AND a.cand_id <> b.cand_id AND b.p >= 0.9),
-cosines AS (SELECT s.s1_id, s.cand_id, {I.sql_dot('x.embedding', 'y.embedding')} / (sqrt({I.sql_dot('x.embedding', 'x.embedding')}) * sqrt({I.sql_dot('y.embedding', 'y.embedding')}) + 1e-6) AS c FROM sib s JOIN embeddings x ON x.vec_id = s.cand_id JOIN embeddings y ON y.vec_id = s.sib),
-agg AS (SELECT s1_id, cand_id, count(*) AS n, max(c) AS m, avg(c) AS a FROM cosines GROUP BY ALL)
-SELECT sc.s1_id, sc.cand_id, coalesce(n, 0) AS sib_n, round(m, 6) AS sib_cos_max, round(a, 6) AS sib_cos_mean FROM sc LEFT JOIN agg ON sc.s1_id = agg.s1_id AND sc.cand_id = agg.cand_id""")
-def sibling_features(spark, sf_dir):
-    mapped = I.scored(spark, sf_dir).select((F.col("s1_id") % 500).alias("s1_id"), (F.col("cand_id") % 500).alias("cand_id")).distinct()
-    pairs = mapped.withColumn("p", (F.abs(F.col("s1_id") * 31 + F.col("cand_id") * 17) % 1000).cast("double") / F.lit(1000.0))
-    vectors = I.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("vector"))
-    return six(X.siblings(pairs, vectors), "sib_cos_max", "sib_cos_mean")
+_SIBLINGS = f"""WITH {SCORED}, numbered AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings), texts AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE lower(p_name) END AS name, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END AS raw FROM part),
+r AS (SELECT t.*, embedding AS v FROM texts t JOIN numbered ON i = p_partkey % (SELECT count(*) FROM embeddings)),
+met AS (SELECT a.s1_id, a.cand_id, {I.sql_dot('x.v', 'y.v')} / (sqrt({I.sql_dot('x.v', 'x.v')}) * sqrt({I.sql_dot('y.v', 'y.v')}) + 1e-6) AS c, CASE WHEN x.raw <> '' AND y.raw <> '' AND lower(x.raw) = lower(y.raw) THEN 1.0 ELSE 0.0 END::DOUBLE AS ae, CASE WHEN x.name <> '' AND x.name = y.name THEN 1.0 ELSE 0.0 END::DOUBLE AS ne,
+ CASE WHEN x.raw <> '' AND y.raw <> '' THEN {Q.token_set_ratio('lower(x.raw)', 'lower(y.raw)')} END AS asim, {Q.token_set_ratio('x.name', 'y.name')} AS nsim
+ FROM scored a JOIN scored b ON a.s1_id = b.s1_id AND a.cand_id <> b.cand_id AND b.p >= 0.9 JOIN r x ON x.p_partkey = a.cand_id JOIN r y ON y.p_partkey = b.cand_id),
+agg AS (SELECT s1_id, cand_id, count(*) AS n, max(c) AS m, avg(c) AS a, max(ae) AS ae, max(ne) AS ne, max(asim) AS asim, max(nsim) AS nsim FROM met GROUP BY ALL)
+SELECT s.s1_id, s.cand_id, CASE WHEN t.raw IS NULL OR t.raw = '' THEN 1.0 ELSE 0.0 END::DOUBLE AS c_no_addr, coalesce(n, 0) AS sib_n, round(m, 6) AS sib_cos_max, round(a, 6) AS sib_cos_mean, round(asim, 6) AS sib_addr_max, round(nsim, 6) AS sib_name_max, ae AS sib_addr_eq, ne AS sib_name_eq
+FROM scored s LEFT JOIN agg ON s.s1_id = agg.s1_id AND s.cand_id = agg.cand_id LEFT JOIN texts t ON t.p_partkey = s.cand_id"""
 
 
-@query("sibling_features_whole")
-def sibling_features_whole(spark, sf_dir):
-    """sibling_features on every scored pair, with its own ids and p."""
+@query("sibling_features", _SIBLINGS)
+def sibling_features(spark, sf_dir):
+    """Every scored pair against the other sure records of its entity, by vector, name and address."""
     scored = I.scored(spark, sf_dir)
     out = X.siblings(scored, I.part_vectors(spark, sf_dir), records=I.part_texts(spark, sf_dir))
     return six(out, "sib_cos_max", "sib_cos_mean", "sib_addr_max", "sib_name_max")
 
 
-CORRECTIONS = "log AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq, l_orderkey AS s1_id, l_partkey AS cand_id, CASE WHEN l_suppkey % 3 = 0 THEN 'add' ELSE 'remove' END AS action FROM lineitem WHERE l_linenumber = 2)"
+CORRECTIONS = "log AS (SELECT l_orderkey * 100000 + l_suppkey AS seq, l_orderkey AS s1_id, l_partkey AS cand_id, CASE WHEN l_suppkey % 3 = 0 THEN 'add' ELSE 'remove' END AS action FROM lineitem WHERE l_linenumber = 2)"
 
 
 def _log(spark, sf_dir):
-    # a log's order comes from its own sequence number
+    """A log with faults: its order is that of orders, then suppliers."""
     rows = I.table(spark, sf_dir, "lineitem").where("l_linenumber = 2")
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    from pyspark.sql.window import Window
+    return rows.select((F.col("l_orderkey") * 100000 + F.col("l_suppkey")).alias("seq"), F.col("l_orderkey").alias("s1_id"), F.col("l_partkey").alias("cand_id"), F.when(F.col("l_suppkey") % 3 == 0, "add").otherwise("remove").alias("action"))
+
 
-    per = Window.partitionBy("l_linenumber").orderBy(*order)
-    return rows.select(F.row_number().over(per).cast("long").alias("seq"), F.col("l_orderkey").alias("s1_id"), F.col("l_partkey").alias("cand_id"), F.when(F.col("l_suppkey") % 3 == 0, "add").otherwise("remove").alias("action"))
+def _sound_log(spark, sf_dir, selected):
+    """A log without faults: every third record leaves its entity, and half of these go to their true owner."""
+    gone = selected.where("cand_id % 3 = 0").select((F.col("cand_id") * 2).alias("seq"), "s1_id", "cand_id", F.lit("remove").alias("action"))
+    back = selected.where("cand_id % 6 = 0").select("cand_id").join(I.truth(spark, sf_dir), "cand_id").select((F.col("cand_id") * 2 + 1).alias("seq"), "s1_id", "cand_id", F.lit("add").alias("action"))
+    return gone.unionByName(back)
 
 
-@query("apply_corrections", f"""WITH {SCORED}, {BEST}, {SELECTED}, {CORRECTIONS}, last AS (SELECT s1_id, cand_id, arg_max(action, seq) AS action FROM log GROUP BY ALL)
-SELECT s.* FROM selected s LEFT JOIN last l ON s.s1_id = l.s1_id AND s.cand_id = l.cand_id WHERE l.action IS NULL UNION ALL SELECT s1_id, cand_id FROM last WHERE action = 'add'""")
+@query("apply_corrections", f"""WITH {SCORED}, {BEST}, {SELECTED}, {TRUTH} SELECT * FROM selected WHERE cand_id % 3 <> 0 UNION ALL SELECT t.s1_id, t.cand_id FROM truth t JOIN selected s ON s.cand_id = t.cand_id WHERE t.cand_id % 6 = 0""")
 def apply_corrections(spark, sf_dir):
-    return D.apply_corrections(_selected(spark, sf_dir), _log(spark, sf_dir))
+    selected = _selected(spark, sf_dir).select("s1_id", "cand_id")
+    return D.apply_corrections(selected, _sound_log(spark, sf_dir, selected)).select("s1_id", "cand_id")
 
 
 @query("correction_faults", f"""WITH {SCORED}, {BEST}, {SELECTED}, {CORRECTIONS}, history AS (SELECT -1 AS seq, s1_id, cand_id, 'add' AS action FROM selected UNION ALL SELECT seq, s1_id, cand_id, action FROM log),
@@ -306,9 +319,8 @@ found AS (SELECT 'duplicate rows' AS rule, s1_id AS x FROM rows GROUP BY s1_id H
 SELECT rule, count(*) AS n, min(x) AS example FROM found GROUP BY 1"""
 
 
-@query("validate_output", VALIDATE)
-def validate_output(spark, sf_dir):
-    """Id lists with faults of every kind put in on purpose."""
+def faulty_lists(spark, sf_dir):
+    """Id lists with faults of every kind put in on purpose, the entities that need one, and the known ids."""
     orders = I.table(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     ids = F.when(key % 11 == 0, "").when(key % 7 == 0, "S2-1,S2-1").when(key % 13 == 0, "S1-5").when(key % 17 == 0, "X9").otherwise(F.concat(F.lit("S2-"), cust, F.lit(",S3-"), cust + 100))
@@ -317,7 +329,12 @@ def validate_output(spark, sf_dir):
     lists = lists.unionByName(orders.where((key % 23 == 0) & (key % 19 != 0)).select(name.alias("s1_id"), F.lit("").alias("ids")))
     lists = lists.unionByName(I.table(spark, sf_dir, "nation").select(F.concat(F.lit("S1-x"), F.col("n_nationkey")).alias("s1_id"), F.lit("").alias("ids")))
     known = I.table(spark, sf_dir, "customer").select(F.concat(F.lit("S2-"), F.col("c_custkey")).alias("cand_id"))
-    return E.validate(lists, orders.select(name.alias("s1_id")), known)
+    return lists, orders.select(name.alias("s1_id")), known
+
+
+@query("validate_output", VALIDATE)
+def validate_output(spark, sf_dir):
+    return E.validate(*faulty_lists(spark, sf_dir))
 
 
 @query("matches_in_candidates", f"WITH {SCORED}, {BEST}, {SELECTED} SELECT * FROM selected WHERE (s1_id, cand_id) NOT IN (SELECT (s1_id, cand_id) FROM scored WHERE p < 0.95)")
@@ -343,13 +360,20 @@ def replace_partition(spark, sf_dir):
     return D.replace_groups(base, base.withColumn("o_totalprice", F.col("o_totalprice") * 2), "o_orderpriority", ["1-URGENT", "5-LOW"])
 
 
-@query("assemble", None)
+_ASSEMBLE = f"""WITH {SCORED}, {COMPETED}, {TRUTH}, best AS (SELECT s1_id, cand_id, p FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY round(p, 9) DESC, s1_id) AS n FROM competed) WHERE n = 1),
+chosen AS (SELECT s1_id, cand_id FROM best WHERE p >= 0.5), filled AS (SELECT s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(p, 9) DESC, cand_id) AS n FROM best WHERE s1_id NOT IN (SELECT s1_id FROM chosen)) WHERE n = 1 AND p >= 0.2),
+selected AS (SELECT * FROM chosen UNION ALL SELECT * FROM filled WHERE cand_id NOT IN (SELECT cand_id FROM chosen)), corrected AS (SELECT * FROM selected WHERE cand_id % 3 <> 0 UNION ALL SELECT t.s1_id, t.cand_id FROM truth t JOIN selected s ON s.cand_id = t.cand_id WHERE t.cand_id % 6 = 0),
+capped AS (SELECT * FROM (SELECT c.s1_id, c.cand_id, row_number() OVER (PARTITION BY c.s1_id, c.cand_id % 2 ORDER BY round(coalesce(p, 1), 9) DESC, c.cand_id) AS n FROM corrected c LEFT JOIN competed k ON c.s1_id = k.s1_id AND c.cand_id = k.cand_id) WHERE n <= CASE WHEN cand_id % 2 = 0 THEN 5 ELSE 6 END)
+SELECT o_orderkey AS s1_id, coalesce(string_agg(CAST(cand_id AS VARCHAR), ',' ORDER BY cand_id), '') AS ids, count(cand_id)::INT AS n_ids FROM orders LEFT JOIN capped ON s1_id = o_orderkey GROUP BY 1"""
+
+
+@query("assemble", _ASSEMBLE)
 def assemble(spark, sf_dir):
     """The whole chain: compete, threshold, first match, unclaimed additions, corrections, caps, id lists."""
     competed = D.compete(I.scored(spark, sf_dir), 2.0)
     best = D.best_owner(competed)
     chosen = best.where("p >= 0.5").select("s1_id", "cand_id")
     chosen = D.append_unclaimed(chosen, D.fill_empty(best, chosen, 0.2))
-    chosen = D.apply_corrections(chosen, _log(spark, sf_dir).where("action = 'remove'"))
+    chosen = D.apply_corrections(chosen, _sound_log(spark, sf_dir, chosen)).select("s1_id", "cand_id")
     capped = D.cap_per_source(chosen.join(competed, ["s1_id", "cand_id"], "left").withColumn("source", _source()), {"S2": 5, "S3": 6})
     return D.id_lists(I.entities(spark, sf_dir), capped)

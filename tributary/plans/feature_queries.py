@@ -13,6 +13,7 @@ from ..operators import features as X
 from ..operators import models as M
 from ..operators import rules as R
 from . import inputs as I
+from . import sql_text as Q
 from .catalogue import query
 from .decision_queries import six
 
@@ -46,10 +47,18 @@ def edit_similarity(spark, sf_dir):
     return six(pairs.select("id_1", "id_2", F.levenshtein("a.concat", "b.concat").cast("long").alias("cc_lev"), jw.alias("cc_jw")), "cc_jw")
 
 
-@query("fuzzy_similarity")
+_FUZZY_SQL = f"""WITH {I.PART_PAIRS}, x AS (SELECT id_1, id_2, a.core AS c1, b.core AS c2, a.concat AS j1, b.concat AS j2, a.alt AS l1, b.alt AS l2, a.name AS m1, b.name AS m2, a.toks AS t1, b.toks AS t2, a.nums AS u1, b.nums AS u2, a.addr AS d1, b.addr AS d2 FROM part_pairs)
+SELECT id_1, id_2, round({Q.ratio('c1', 'c2')}, 6) AS n_ratio, round({Q.token_sort_ratio('c1', 'c2')}, 6) AS n_tsort, round({Q.token_set_ratio('c1', 'c2')}, 6) AS n_tset, round({Q.partial_ratio('c1', 'c2')}, 6) AS n_partial, round({Q.weighted_ratio('c1', 'c2')}, 6) AS n_wratio,
+ round(100 * jaro_winkler_similarity(j1, j2), 6) AS cc_jw, round({Q.partial_ratio('j1', 'j2')}, 6) AS cc_partial, levenshtein(j1, j2)::DOUBLE AS cc_lev, round(greatest({Q.token_set_ratio('l1', 'l2')}, {Q.token_set_ratio('l1', 'c2')}, {Q.token_set_ratio('c1', 'l2')}), 6) AS n_alt_best,
+ round({Q.token_set_ratio('m1', 'm2')}, 6) AS nm_tset_full, round({Q.token_set_ratio('t1', 't2')}, 6) AS a_tset, round({Q.token_sort_ratio('t1', 't2')}, 6) AS a_tsort, round({Q.partial_ratio('t1', 't2')}, 6) AS a_partial, round({Q.token_set_ratio('d1', 'd2')}, 6) AS a_full_tset,
+ round(list_max(flatten(list_transform({W('u1')}, lambda m: list_transform({W('u2')}, lambda n: {Q.ratio('m', 'n')})))), 6) AS num_fuzzy FROM x"""
+
+
+@query("fuzzy_similarity", _FUZZY_SQL)
 def fuzzy_similarity(spark, sf_dir):
     pairs = I.part_pairs(spark, sf_dir)
-    return pairs.select("id_1", "id_2", X.fuzzy_features(F.col("a"), F.col("b")).alias("f")).select("id_1", "id_2", "f.*")
+    out = pairs.select("id_1", "id_2", X.fuzzy_features(F.col("a"), F.col("b")).alias("f")).select("id_1", "id_2", "f.*")
+    return six(out, *(c for c in X.FUZZY if c != "cc_lev"))
 
 
 @query("flag_features", f"""WITH {I.PART_PAIRS}, w AS (SELECT id_1, id_2, a, b, list_filter({W('a.name')}, lambda t: list_contains({I.sql_list(T.LEGAL_FORMS)}, t)) AS l1, list_filter({W('b.name')}, lambda t: list_contains({I.sql_list(T.LEGAL_FORMS)}, t)) AS l2 FROM part_pairs)
@@ -79,7 +88,12 @@ def idf_coverage(spark, sf_dir):
     return six(out.select("key.*", "n_idf_cov1", "n_idf_cov2", "n_idf_max"), "n_idf_cov1", "n_idf_cov2", "n_idf_max")
 
 
-@query("soft_idf")
+_SOFT = f"""WITH {I.PART_RECORDS}, {_IDF}, {I.PART_PAIRS}, tok AS (SELECT id_1, id_2, unnest(list_distinct({W('a.core')})) AS token, list_distinct({W('a.core')}) AS t1, list_distinct({W('b.core')}) AS t2 FROM part_pairs),
+w AS (SELECT id_1, id_2, list_contains(t2, tok.token) AS shared, coalesce(idf, 12.0) AS w, coalesce(list_max(list_transform(list_filter(t2, lambda t: NOT list_contains(t1, t)), lambda o: {Q.ratio('tok.token', 'o')})), 0) AS best FROM tok LEFT JOIN idf ON tok.token = idf.token)
+SELECT id_1, id_2, round(sum(CASE WHEN shared THEN w WHEN best >= 80 THEN w * best / 100 ELSE 0 END) / sum(w), 6) AS n_soft_idf FROM w GROUP BY ALL"""
+
+
+@query("soft_idf", _SOFT)
 def soft_idf(spark, sf_dir):
     pairs = I.part_pairs(spark, sf_dir).select(F.struct("id_1", "id_2").alias("key"), F.col("a.core").alias("core_1"), F.col("b.core").alias("core_2"))
     return X.soft_idf(pairs, X.name_idf(I.part_records(spark, sf_dir))).select("key.*", F.round("n_soft_idf", 6).alias("n_soft_idf"))
@@ -120,7 +134,13 @@ def number_features(spark, sf_dir):
     return six(out, "hn_reldiff", "hn_frac_in")
 
 
-@query("twin_edits")
+_TWINS = f"""WITH {I.PART_PAIRS}, x AS (SELECT id_1, id_2, {W('a.core')} AS t1, {W('b.core')} AS t2, {W('a.toks')} AS w1, {W('b.toks')} AS w2 FROM part_pairs),
+e AS (SELECT *, list_filter(t1, lambda t: NOT {Q.fuzzy_in('t', 't2')}) AS miss, list_filter(t2, lambda t: NOT {Q.fuzzy_in('t', 't1')}) AS extra, list_filter(w1, lambda t: NOT {Q.fuzzy_in('t', 'w2')}) AS sm, list_filter(w2, lambda t: NOT {Q.fuzzy_in('t', 'w1')}) AS se FROM x)
+SELECT id_1, id_2, len(miss)::INT AS nt_miss, len(extra)::INT AS nt_extra, least(len(miss), len(extra))::INT AS nt_sub, CASE WHEN len(miss) > 0 AND miss[1] = t1[1] THEN 1 ELSE 0 END AS nt_miss_first,
+ CASE WHEN list_filter(t1, lambda t: list_contains(t2, t)) = list_filter(t2, lambda t: list_contains(t1, t)) THEN 1 ELSE 0 END AS nt_order_eq, len(sm)::INT AS st_miss, len(se)::INT AS st_extra FROM e"""
+
+
+@query("twin_edits", _TWINS)
 def twin_edits(spark, sf_dir):
     c = lambda s, f: F.col(f"{s}.{f}")
     out = X.word_edits(c("a", "core"), c("b", "core"), c("a", "toks"), c("b", "toks"))
@@ -136,7 +156,22 @@ def number_street_types(spark, sf_dir):
     return pairs.select("id_1", "id_2", X.number_type(F.col("a.raw"), F.col("b.raw")).alias("num_type"), X.street_type(F.col("a.toks"), F.col("b.toks")).alias("st_type"))
 
 
-@query("pair_types")
+def _name_type_sql(c1: str, c2: str) -> str:
+    """The place of the name type, from two text columns."""
+    more = lambda x, y: f"len(list_filter({W(x)}, lambda t: NOT list_contains({W(y)}, t))) > 0"
+    changed = f"list_filter(list_zip({W(c1)}, {W(c2)}), lambda z: z[1] IS DISTINCT FROM z[2])"
+    one = f"len({W(c1)}) = len({W(c2)}) AND len({W(c1)}) > 1 AND len({changed}) = 1"
+    return f"""CASE WHEN {c2} = '' THEN 6 WHEN {c1} = {c2} THEN 0 WHEN {Q.ratio(c1, c2)} >= 90 OR replace({c1}, ' ', '') = replace({c2}, ' ', '') THEN 1 WHEN NOT {more(c1, c2)} AND {more(c2, c1)} THEN 2 WHEN NOT {more(c2, c1)} AND {more(c1, c2)} THEN 3
+ WHEN {one} AND {Q.ratio(f"({changed})[1][1]", f"({changed})[1][2]")} < 75 THEN 4 ELSE 5 END"""
+
+
+_NUM_TYPE = "CASE WHEN h1 = '' AND h2 = '' THEN 5 WHEN h2 = '' THEN 3 WHEN h1 = '' THEN 4 WHEN h1 = h2 THEN 0 WHEN x = y OR (x <> '' AND y <> '' AND (starts_with(x, y) OR ends_with(x, y) OR starts_with(y, x) OR ends_with(y, x)) AND abs(length(x) - length(y)) <= 1) THEN 1 ELSE 2 END"
+_STREET_TYPE = "CASE WHEN len(w2) = 0 THEN 4 WHEN len(w1) = 0 THEN 5 WHEN s = m1 AND s = m2 THEN 0 WHEN s = m2 THEN 1 WHEN s::DOUBLE / greatest(1, least(m1, m2)) >= 0.5 THEN 2 ELSE 3 END"
+_TYPED = f"""typed AS (SELECT id_1, id_2, c1, c2, {_name_type_sql('c1', 'c2')} AS n, {_NUM_TYPE} AS u, {_STREET_TYPE} AS st FROM (SELECT *, regexp_replace(regexp_replace(h1, '[^0-9]', '', 'g'), '^0+', '') AS x, regexp_replace(regexp_replace(h2, '[^0-9]', '', 'g'), '^0+', '') AS y, len(list_intersect(w1, w2)) AS s, len(list_distinct(w1)) AS m1, len(list_distinct(w2)) AS m2
+ FROM (SELECT id_1, id_2, a.core AS c1, b.core AS c2, regexp_extract(lower(a.raw), '[0-9]+[a-z]?') AS h1, regexp_extract(lower(b.raw), '[0-9]+[a-z]?') AS h2, {W('a.toks')} AS w1, {W('b.toks')} AS w2 FROM part_pairs)))"""
+
+
+@query("pair_types", f"WITH {I.PART_PAIRS}, {_TYPED} SELECT id_1, id_2, n * 100 + u * 10 + st AS type_key, {I.sql_list(X.NAME_TYPES)}[n + 1] || '/' || {I.sql_list(X.NUMBER_TYPES)}[u + 1] || '/' || {I.sql_list(X.STREET_TYPES)}[st + 1] AS label FROM typed")
 def pair_types(spark, sf_dir):
     c = lambda s, f: F.col(f"{s}.{f}")
     typed = I.part_pairs(spark, sf_dir).select("id_1", "id_2", X.name_type(c("a", "core"), c("b", "core")).alias("n"), X.number_type(c("a", "raw"), c("b", "raw")).alias("u"), X.street_type(c("a", "toks"), c("b", "toks")).alias("s"))
@@ -230,7 +265,13 @@ def _core_pairs(spark, sf_dir):
     return pairs.withColumn("token", word).join(ratio, "token", "left")
 
 
-@query("vocab_swap")
+_CHANGED = f"list_filter(list_zip({W('c1')}, {W('c2')}), lambda z: z[1] IS DISTINCT FROM z[2])"
+_SWAP = f"""swaps AS (SELECT *, coalesce(len({W('c1')}) = len({W('c2')}) AND len({W('c1')}) >= 2 AND list_sort({W('c1')}) <> list_sort({W('c2')}) AND replace(c1, ' ', '') <> replace(c2, ' ', '')
+ AND NOT ((len(list_filter({W('c1')}, lambda t: NOT list_contains({W('c2')}, t))) = 0) <> (len(list_filter({W('c2')}, lambda t: NOT list_contains({W('c1')}, t))) = 0)) AND len({_CHANGED}) = 1 AND {Q.ratio('c1', 'c2')} < 90 AND {Q.ratio(f"({_CHANGED})[1][1]", f"({_CHANGED})[1][2]")} < 75 AND r >= 0.5 AND r < 1.1, FALSE) AS swap
+ FROM (SELECT typed.*, ratio.r FROM typed LEFT JOIN ratio ON ratio.token = ({_CHANGED})[1][2]))"""
+
+
+@query("vocab_swap", f"WITH {I.PART_RECORDS}, {_RATIO}, {I.PART_PAIRS}, {_TYPED}, {_SWAP} SELECT id_1, id_2, swap FROM swaps")
 def vocab_swap(spark, sf_dir):
     pairs = _core_pairs(spark, sf_dir)
     return pairs.select("id_1", "id_2", X.vocabulary_swap(F.col("core_1"), F.col("core_2"), F.col("r")).alias("swap"))
@@ -268,7 +309,11 @@ def noaddr_exact(spark, sf_dir):
     return R.noaddr_exact(scored, scored.where("p >= 0.5"), left, 0.05, 0.6, 1, 3)
 
 
-@query("recovery_rules")
+_ACRONYM = f"length(c2) BETWEEN 2 AND 6 AND array_to_string(list_transform({W('c1')}, lambda t: substr(t, 1, 1)), '') = c2"
+
+
+@query("recovery_rules", f"""WITH {I.PART_RECORDS}, {_RATIO}, {I.PART_PAIRS}, {_TYPED}, {_SWAP}, r AS (SELECT *, ((id_1 * 37 + id_2 * 11) % 1000)::DOUBLE / 1000.0::DOUBLE AS p, {_ACRONYM} AS acr FROM swaps)
+SELECT id_1, id_2, p >= 0.3 AND p < 0.8 AND NOT swap AND ((n = 5 AND acr AND u = 0) OR (n = 4 AND u = 0) OR (n = 0 AND u = 3 AND p >= 0.5) OR (n = 2 AND u = 0 AND p >= 0.5)) AS recover, p >= 0.05 AND p < 0.3 AND NOT swap AND n = 5 AND acr AND u = 0 AND st = 0 AS low_acronym FROM r""")
 def recovery_rules(spark, sf_dir):
     """Pairs below the threshold that a rule on their types brings back, and low acronyms."""
     pairs = _core_pairs(spark, sf_dir)

@@ -87,9 +87,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- two sides of documents ---------------------------------------------------------------------
 
-MAX_DF, FORWARD, REVERSE = 50, 30, 8
-#: The document-frequency cap of the method itself; MAX_DF is that of the queries that have SQL.
-WHOLE_MAX_DF = 5000
+#: The method's document-frequency cap, and how many candidates of a record are kept in either direction.
+MAX_DF, FORWARD, REVERSE = 5000, 30, 8
 
 DOC_TOKENS = f"""doc_tokens AS (
   SELECT DISTINCT lang AS part, doc_id AS id, CASE WHEN {sql_role("CAST(doc_id AS VARCHAR)")} = 'ghost' THEN 1 ELSE 2 END AS side, unnest({sql_words(sql_strip("lower(text)"))}) AS token FROM documents
@@ -115,6 +114,13 @@ def document_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return words.where("side = 1").drop("side"), words.where("side = 2").drop("side")
 
 
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(part, side, id, tokens) of every document: both sides of document_sides, the distinct words in an array."""
+    docs = table(spark, sf_dir, "documents")
+    side = F.when(N.role(F.col("doc_id").cast("string")) == "ghost", 1).otherwise(2)
+    return docs.select(F.col("lang").alias("part"), side.alias("side"), F.col("doc_id").alias("id"), F.array_distinct(N.word_tokens(N.basic_clean(F.col("text")))).alias("tokens"))
+
+
 def texts_without(spark: SparkSession, sf_dir: str, bags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(part, id, hash) of both sides: the documents that have words, but no bag."""
     docs = table(spark, sf_dir, "documents").where(F.size(N.word_tokens(N.basic_clean(F.col("text")))) > 0)

@@ -10,6 +10,7 @@ from ..functions import translit
 from ..operators import blocking as B
 from ..operators import decide as D
 from ..operators import profile as P
+from ..sources.tables import materialised
 from . import inputs as I
 from .catalogue import query
 from .decision_queries import six
@@ -134,20 +135,40 @@ def _ranked_sql(key: str, other: str, k: int, name: str) -> str:
 _FWD, _REV = _ranked_sql("id_1", "id_2", I.FORWARD, "rank_fwd"), _ranked_sql("id_2", "id_1", I.REVERSE, "rank_rev")
 
 
+def _bags(spark, sf_dir, max_df=None):
+    """Weighted token bags of all documents, tokenised once and written, since both directions read them."""
+    records = materialised(I.document_records(spark, sf_dir), "token-records")
+    return materialised(B.token_bags(records, max_df or I.MAX_DF), "token-bags")
+
+
+def _forward(bags, rank="rank_fwd"):
+    return B.nearest_tokens(bags, I.FORWARD, rank=rank)
+
+
+def _reverse(bags, rank="rank_rev"):
+    return B.nearest_tokens(bags, I.REVERSE, left=2, rank=rank).select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"), "score", rank)
+
+
+def _both(bags):
+    f, r = _forward(bags), _reverse(bags).withColumnRenamed("score", "score_r")
+    missing = F.lit(B.NOT_FOUND)
+    return f.join(r, ["id_1", "id_2"], "full_outer").select("id_1", "id_2", F.coalesce("score", "score_r").alias("score"), F.coalesce("rank_fwd", missing).alias("rank_fwd"), F.coalesce("rank_rev", missing).alias("rank_rev"))
+
+
 @query("token_block_fwd", f"WITH {I.TOKEN_PAIRS} SELECT id_1, id_2, round(score, 6) AS score, rank_fwd FROM ({_FWD})")
 def token_block_fwd(spark, sf_dir):
-    return six(B.best(B.token_pairs(*I.document_sides(spark, sf_dir), I.MAX_DF), "id_1", "id_2", "score", I.FORWARD, "rank_fwd"), "score")
+    return six(_forward(_bags(spark, sf_dir)), "score")
 
 
 @query("token_block_rev", f"WITH {I.TOKEN_PAIRS} SELECT id_1, id_2, round(score, 6) AS score, rank_rev FROM ({_REV})")
 def token_block_rev(spark, sf_dir):
-    return six(B.best(B.token_pairs(*I.document_sides(spark, sf_dir), I.MAX_DF), "id_2", "id_1", "score", I.REVERSE, "rank_rev"), "score")
+    return six(_reverse(_bags(spark, sf_dir)), "score")
 
 
 @query("partitioned_block", f"""WITH {I.TOKEN_PAIRS}, f AS ({_FWD}), r AS ({_REV})
 SELECT id_1, id_2, round(coalesce(f.score, r.score), 6) AS score, coalesce(rank_fwd, 99) AS rank_fwd, coalesce(rank_rev, 99) AS rank_rev FROM f FULL JOIN r USING (id_1, id_2)""")
 def partitioned_block(spark, sf_dir):
-    return six(B.both_directions(B.token_pairs(*I.document_sides(spark, sf_dir), I.MAX_DF), I.FORWARD, I.REVERSE), "score")
+    return six(_both(_bags(spark, sf_dir)), "score")
 
 
 _NEAR = f"{I.VECTORS}, pairs AS (SELECT a.id AS id_1, b.id AS id_2, round({I.sql_dot('a.embedding', 'b.embedding')}, 9) AS score FROM vectors a JOIN vectors b ON a.part = b.part AND a.ghost AND NOT b.ghost)"
@@ -183,8 +204,7 @@ vf AS ({_VF.replace('FROM pairs)', 'FROM vpairs)')}), vr AS ({_VR.replace('FROM
 SELECT coalesce(a.id_1, b.id_1) AS id_1, coalesce(a.id_2, b.id_2) AS id_2, round(coalesce(a.score, 0), 6) AS blk_score, coalesce(a.rank_fwd, 99) AS blk_rank_fwd, coalesce(a.rank_rev, 99) AS blk_rank_rev, CASE WHEN a.id_1 IS NULL THEN 0 ELSE 1 END AS found_blk,
  round(coalesce(b.score, 0), 6) AS emb_score, coalesce(b.rank_fwd, 99) AS emb_rank_fwd, coalesce(b.rank_rev, 99) AS emb_rank_rev, CASE WHEN b.id_1 IS NULL THEN 0 ELSE 1 END AS found_emb FROM a FULL JOIN b ON a.id_1 = b.id_1 AND a.id_2 = b.id_2""")
 def block_union(spark, sf_dir):
-    tokens = B.both_directions(B.token_pairs(*I.document_sides(spark, sf_dir), I.MAX_DF), I.FORWARD, I.REVERSE)
-    return six(B.union_passes(tokens, B.nearest_both(*I.vector_sides(spark, sf_dir), 20, 5)), "blk_score", "emb_score")
+    return six(B.union_passes(_both(_bags(spark, sf_dir)), B.nearest_both(*I.vector_sides(spark, sf_dir), 20, 5)), "blk_score", "emb_score")
 
 
 _LINK_SQL = f"""WITH {I.TOKEN_PAIRS}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_1 ORDER BY round(score, 9) DESC, id_2) AS n FROM pairs) WHERE n <= {I.FORWARD}),
@@ -195,23 +215,20 @@ SELECT s1_id, coalesce(string_agg(CAST(id_2 AS VARCHAR), ',' ORDER BY id_2), '')
 @query("link_documents", _LINK_SQL)
 def link_documents(spark, sf_dir):
     """Flagship: normalise, cut into tokens, retrieve by rare tokens, best owner, threshold, id lists."""
-    pairs = B.best(B.token_pairs(*I.document_sides(spark, sf_dir), I.MAX_DF), "id_1", "id_2", "score", I.FORWARD, "rank")
-    return _linked(spark, sf_dir, pairs)
+    return _linked(spark, sf_dir, _forward(_bags(spark, sf_dir), "rank"))
 
 
 @query("link_documents_whole")
 def link_documents_whole(spark, sf_dir):
-    """link_documents with the cap of the method; documents whose words are all above it meet by equal texts."""
-    return _linked(spark, sf_dir, whole_pairs(spark, sf_dir, I.WHOLE_MAX_DF))
+    """link_documents in both directions; documents whose words are all above the cap meet by equal texts."""
+    return _linked(spark, sf_dir, whole_pairs(spark, sf_dir))
 
 
-def whole_pairs(spark, sf_dir, max_df):
+def whole_pairs(spark, sf_dir, max_df=None):
     """(id_1, id_2, score): the best candidates of each document in both directions, by tokens, and by equal texts where no token is below the cap."""
-    from ..llm.common import written
-
-    bags = written(B.token_bags(*I.document_sides(spark, sf_dir), max_df), "token-bags")
+    bags = _bags(spark, sf_dir, max_df)
     one, two = I.texts_without(spark, sf_dir, bags)
-    forward = B.nearest_tokens(bags, I.FORWARD).unionByName(B.equal_texts(one, two, I.FORWARD))
+    forward = _forward(bags, "rank").unionByName(B.equal_texts(one, two, I.FORWARD))
     reverse = B.nearest_tokens(bags, I.REVERSE, left=2).unionByName(B.equal_texts(two, one, I.REVERSE))
     pairs = forward.select("id_1", "id_2", "score").unionAll(reverse.select("id_2", "id_1", "score"))
     return pairs.groupBy("id_1", "id_2").agg(F.max("score").alias("score"))
@@ -244,7 +261,7 @@ def blocking_report(spark, sf_dir):
     docs = I.table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("m"), N.role(F.col("doc_id").cast("string")).alias("role"))
     a, b = docs.where("role = 'ghost'").select(F.col("doc_id").alias("id_1"), "lang", "m"), docs.where("role <> 'ghost'").select(F.col("doc_id").alias("id_2"), "lang", "m")
     same = a.join(b, ["lang", "m"]).select("id_1", "id_2")
-    found = B.best(B.token_pairs(*I.document_sides(spark, sf_dir), I.MAX_DF), "id_1", "id_2", "score", I.FORWARD, "rank")
+    found = _forward(_bags(spark, sf_dir), "rank")
     ranked = same.join(found.select("id_1", "id_2", "rank"), ["id_1", "id_2"], "left")
     grid = F.explode(F.array(F.lit(1), F.lit(5), F.lit(30)))
     return ranked.select(grid.alias("k"), "rank").groupBy("k").agg(F.round(F.count_if(F.col("rank") < F.col("k")) / F.greatest(F.count("*"), F.lit(1)), 6).alias("recall"))
@@ -295,13 +312,14 @@ def script_profile(spark, sf_dir):
     return docs.groupBy("lang", N.dominant_script(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
 
 
-#: Literal rows in native scripts and with dotted legal forms.
-SAMPLES = ["वन टेक्नोलॉजीज प्रा. लि.", "राम मार्केटिंग", "ಕರ್ನಾಟಕ", "తెలంగాణ", "Bar S.A.R.L. Paris", "S.A. Ｆｕｌｌ", "e.u.r.l. Ｘ"]
+#: One word in each of nine scripts, dotted legal forms, and full-width letters, put before the names of nations.
+SAMPLES = ["नमस्ते दुनिया", "বাংলা ভাষা", "ਪੰਜਾਬੀ ਬੋਲੀ", "ગુજરાતી ભાષા", "ଓଡ଼ିଆ ଭାଷା", "தமிழ் மொழி", "తెలుగు భాష", "ಕನ್ನಡ ನುಡಿ", "മലയാളം ഭാഷ", "Foo S.A.R.L. Lyon", "S.A. Ｗｉｄｅ", "e.u.r.l. Ｙ"]
 
 
 @query("translit_words")
 def translit_words(spark, sf_dir):
-    """The transliterator, NFKC cleaning and dotted forms on literal rows."""
-    rows = spark.createDataFrame([(i, s) for i, s in enumerate(SAMPLES)], "id int, raw string")
+    """The transliterator, NFKC cleaning and dotted forms on the names of all nations, each with a sample in front of it."""
+    samples = F.get(F.array(*(F.lit(x) for x in SAMPLES)), (F.col("n_nationkey") % len(SAMPLES)).cast("int"))
+    rows = I.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat(samples, F.lit(" "), F.col("n_name")).alias("raw"))
     clean = N.basic_clean(F.col("raw"), nfkc=True)
     return rows.select("id", "raw", translit.translit(clean).alias("latin"), N.undot(clean).alias("undotted"), N.norm_name(F.col("raw"), translit.translit, dotted=True, nfkc=True)["core"].alias("core"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +37,32 @@ def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataF
     return spark.read.parquet(path)
 
 
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """df written to the folder named by spark.checkpoint.dir and read again, for a table with several readers. Removed when the driver's JVM ends."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, at = _filesystem(df.sparkSession, path)
+    fs.deleteOnExit(at)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where the setting is missing and all of Spark is in one process, one of our own; on a cluster that is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return shared
+
+
 def manifest(df: DataFrame) -> dict:
     """What a table was made from: its columns and types, and the sizes of its files."""
     spark = df.sparkSession
     sizes = {}
     for f in df.inputFiles():
-        fs, at = _filesystem(spark, f)
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f))  # names of files are given as URIs
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
         sizes[f] = fs.getFileStatus(at).getLen()
     return {"columns": [list(c) for c in df.dtypes], "files": dict(sorted(sizes.items()))}
 

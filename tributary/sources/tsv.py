@@ -20,15 +20,26 @@ def read_tsv(spark: SparkSession, path: str, columns: list[str] = RECORD, escape
     return rows.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns))
 
 
+def write_records(df: DataFrame, path: str) -> None:
+    """Rows as text under a header, nothing quoted; fields must not hold tabs or line ends."""
+    df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns)).write.mode("overwrite").options(sep="\t", header=True, quote="", emptyValue="", nullValue="").csv(path)
+
+
 def read_split(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(source 1, sources 2 and 3 together), each with its source's name."""
     read = {s: read_tsv(spark, p).withColumn("source", F.lit(s)) for s, p in paths.items()}
     return read["S1"], read["S2"].unionByName(read["S3"])
 
 
-def write_id_lists(lists: DataFrame, path: str, id_column: str = "source1_entity_id", list_column: str = "matched_entity_ids") -> None:
-    """(s1_id, ids) as a header and one line each, empty lists too."""
+def write_id_lists(lists: DataFrame, path: str, id_column: str = "source1_entity_id", list_column: str = "matched_entity_ids", order: str | None = None, one_file: bool = False) -> None:
+    """(s1_id, ids) as a header and one line each, empty lists too.
+
+    order: a column of lists by which the lines stand, over the part files in the order of their names. one_file: a single part, which one task writes.
+    """
+    if order:
+        lists = lists.orderBy(order)
     out = lists.select(F.col("s1_id").cast("string").alias(id_column), F.col("ids").alias(list_column))
+    out = out.coalesce(1) if one_file else out
     out.write.mode("overwrite").options(sep="\t", header=True, quote="", emptyValue="", nullValue="").csv(path)
 
 
