@@ -183,5 +183,4 @@ def test_nine_scripts(spark):
 def test_dominant_script(spark):
     rows = [("abc def",), ("कखग abc कखगघ",), ("తెలుగు",), ("123 !",), ("",)]
     df = spark.createDataFrame(rows, "t string").select("t", N.dominant_script(catalogue.record_queries.F.col("t")).alias("s"))
-    got = {r.t: r.s for r in df.collect()}
-    assert len({got["abc def"], got["कखग abc कखगघ"], got["తెలుగు"]}) == 3
+    assert [r.s for r in df.collect()] == ["latin", "native", "native", "none", "none"]

@@ -306,7 +306,12 @@ def key_collisions(spark, sf_dir):
     return groups.agg(F.count("*").alias("n_keys"), F.max("n").alias("largest"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.percentile("n", F.lit(0.9)), 6).alias("p90"), F.round(F.corr("n", F.length("p_name")), 6).alias("corr_length"))
 
 
-@query("script_profile")
+_LETTERS = {"latin": r"[^\p{Latin}]", "cyrillic": r"[^\p{Cyrillic}]", "arabic": r"[^\p{Arabic}]", "native": "[^ऀ-ൿ]", "han": r"[^\p{Han}]"}
+_COUNTS = ", ".join(f"length(regexp_replace(regexp_replace(text, '[^\\p{{L}}]', '', 'g'), '{p}', '', 'g')) AS {s}" for s, p in _LETTERS.items())
+
+
+@query("script_profile", f"""WITH c AS (SELECT lang, {_COUNTS} FROM documents), m AS (SELECT *, greatest(latin, cyrillic, arabic, native, han) AS m FROM c)
+SELECT lang, CASE WHEN m = 0 THEN 'none' WHEN m = latin THEN 'latin' WHEN m = cyrillic THEN 'cyrillic' WHEN m = arabic THEN 'arabic' WHEN m = native THEN 'native' ELSE 'han' END AS script, count(*) AS n FROM m GROUP BY ALL""")
 def script_profile(spark, sf_dir):
     docs = I.table(spark, sf_dir, "documents")
     return docs.groupBy("lang", N.dominant_script(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
