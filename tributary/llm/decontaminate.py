@@ -81,9 +81,13 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item. Rows with a null doc_id can't be reported, so they stay."""
-    found = written(contained_items(docs, benchmark, threshold).select("doc_id").distinct(), "contaminated")
-    return docs.join(_small(found), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs, with all their columns, that hold no benchmark item. Whether one does depends on its text alone, so rows without a doc_id are judged
+
+    like others, and equal texts alike; null texts hold nothing and stay.
+    """
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = written(contained_items(keyed, benchmark, threshold).select(F.col("doc_id").alias("hash")).distinct(), "contaminated")
+    return docs.join(_small(found), F.xxhash64("text") == F.col("hash"), "left_anti").select(docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
