@@ -1,8 +1,9 @@
 """Operator 2: secrets by fixed patterns, and by probabilistic automata inferred from the credentials these find.
 
 For each kind a prefix tree of labelled credentials (a bounded, documented sample of the distinct ones) is generalised by merging statistically
-compatible states (Hoeffding bounds on the shares of endings and next symbols). Every other long token of every text that mixes letters and digits
-is then scored by its likelihood per character; one as likely as nearly all labelled credentials of a kind is a secret of kind "grammar".
+compatible states (Hoeffding bounds on the shares of endings and next symbols). Every run of credential characters of every text that is as long as a kind's
+shortest credentials is then scored by that kind's automaton. A run as likely as nearly all labelled credentials of a kind, and far likelier as one than as
+ordinary text, is a secret of kind "grammar". Ordinary text is what byte pairs of all texts say.
 """
 
 from __future__ import annotations
@@ -24,10 +25,16 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-#: Other candidates: runs of these characters, this long, with a letter and a digit.
-TOKEN_CHARS, TOKEN_LEAST = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 16
+#: Candidates are runs of these characters, without full stops at either end.
+TOKEN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Bound of the labelled sample, for each kind; significance of the merge test; share of labelled credentials that may score below the cut.
 EXAMPLES, ALPHA, TAIL = 600, 0.05, 0.01
+#: Bits by which a run must be likelier as a credential than as ordinary text: one chance run in 2 ** EVIDENCE.
+EVIDENCE = 14.0
+
+#: log2 of the chance of the rarest byte after another. A digit beside a letter, or a capital after a small letter, counts as this rare, however often
+#: the credentials themselves have it.
+RAREST = -10.0
 
 _TOKEN = np.zeros(256, dtype=bool)
 _TOKEN[list(TOKEN_CHARS.encode())] = True
@@ -139,12 +146,71 @@ class Automaton:
         end = self.final[s] / self.total[s] if self.total[s] else 0.0
         return (out + math.log2(max(end, FLOOR))) / (len(text) + 1)
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What score() adds up, as arrays: log2 of each step and its target by state and symbol, and log2 of each state's end."""
+        n, symbols = len(self.total), len(CLASSES) + 1
+        sizes = np.array([*map(len, CLASSES), 100])
+        step, target, total = np.zeros((n, symbols)), np.zeros((n, symbols), dtype=np.int32), np.maximum(np.array(self.total, dtype=np.float64), 1)
+        for s, ways in enumerate(self.next):
+            for symbol, (to, count) in ways.items():
+                step[s, symbol], target[s, symbol] = count, to
+        ends = np.array(self.final) / total
+        return np.log2(np.maximum(step / total[:, None], FLOOR) / sizes), target, np.log2(np.maximum(ends, FLOOR))
+
+
+_SYMBOL_OF = np.full(256, len(CLASSES), dtype=np.intp)
+for _c, _i in SYMBOL.items():
+    _SYMBOL_OF[ord(_c)] = _i
+
+
+_byte = np.arange(256)
+_digit, _small, _capital = ((_byte >= ord(a)) & (_byte <= ord(b)) for a, b in ("09", "az", "AZ"))
+_letter = _small | _capital
+_MIXED = (_digit[:, None] & _letter) | (_letter[:, None] & _digit) | (_small[:, None] & _capital)
+
+
+class Grammar:
+    """Automata by kind, and log2 of the chance of each byte after another in ordinary text."""
+
+    def __init__(self, automata: dict[str, Automaton], pairs: np.ndarray):
+        self.automata = automata
+        self.cuts = {kind: (a.cut, LEAST[kind], *a.tables()) for kind, a in automata.items()}
+        seen = np.where(_MIXED, 0, pairs.reshape(256, 256)) + 1.0
+        self.ordinary = np.maximum(np.log2(seen / seen.sum(axis=1, keepdims=True)), RAREST)
+
+    def accepted(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which of the runs (starts and sizes in data) are credentials of some kind."""
+        out = np.zeros(len(starts), dtype=bool)
+        if not len(starts):
+            return out
+        before = np.concatenate((np.array([32], dtype=np.uint8), data[:-1]))
+        summed = np.concatenate(([0.0], np.cumsum(self.ordinary[before, data])))
+        plain = summed[starts + sizes] - summed[starts]
+        order = np.argsort(-sizes, kind="stable")
+        at, length = starts[order], sizes[order]
+        symbols = _SYMBOL_OF[data]
+        for cut, least, step, target, end in self.cuts.values():
+            n = int(np.searchsorted(-length, -least, side="right"))  # runs that are long enough
+            if not n:
+                continue
+            state, total, held = np.zeros(n, dtype=np.intp), np.zeros(n), n
+            for t in range(int(length[0])):
+                held = int(np.searchsorted(-length[:held], -t, side="left"))  # runs that have a character here
+                symbol = symbols[at[:held] + t]
+                total[:held] += step[state[:held], symbol]
+                state[:held] = target[state[:held], symbol]
+            total += end[state]
+            # a thousandth of a bit for sums in another order than score()'s
+            good = (total / (length[:n] + 1) >= cut - 1e-3) & (total - plain[order[:n]] >= EVIDENCE)
+            out[order[:n]] |= good
+        return out
+
 
 class Scanner:
-    """Finds spans (start, end, kind) in code points, end exclusive. Without automata only the base kinds."""
+    """Finds spans (start, end, kind) in code points, end exclusive. Without a grammar only the base kinds."""
 
-    def __init__(self, automata: dict[str, Automaton] | None = None):
-        self.automata = automata or {}
+    def __init__(self, grammar: Grammar | None = None):
+        self.grammar = grammar
 
     def spans(self, texts: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
         """Spans of each text that has any, in order of start, then kind; kinds as indices into KINDS."""
@@ -168,50 +234,56 @@ class Scanner:
                 i = bisect_right(bounds, at) - 1
                 keyed.add(i)
                 at = lowered.find(word, bounds[i + 1])
-        decoded: dict[int, str] = {}
         for i in keyed:
-            text = decoded[i] = part[i].decode("utf-8", "replace")
-            hits = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+            hits = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(part[i].decode("utf-8", "replace")) if len(m[2]) >= LEAST["assign"]]
             if hits:
                 found[i] = hits
         data = np.frombuffer(joined, dtype=np.uint8)
         stops = np.concatenate(([-1], np.flatnonzero(~_TOKEN[data]), [len(data)]))
-        long = np.flatnonzero(np.diff(stops) > TOKEN_LEAST)
-        others: dict[int, list] = {}
-        for a, b in zip((stops[long] + 1).tolist(), stops[long + 1].tolist()):
-            i = bisect_right(bounds, a) - 1
+        starts, sizes = stops[:-1] + 1, np.diff(stops) - 1
+        for k in np.flatnonzero(sizes >= min(LEAST["access"], LEAST["hex"])).tolist():
+            a, b = int(starts[k]), int(starts[k] + sizes[k])
             run = joined[a:b].decode()
-            at = len(joined[bounds[i] : a].decode("utf-8", "replace"))
-            if "AKIA" in run:
-                found.setdefault(i, []).extend((at + m.start(), at + m.end(), 1) for m in ACCESS.finditer(run) if len(m[0]) >= LEAST["access"])
-            found.setdefault(i, []).extend((at + m.start(), at + m.end(), 2) for m in HEX.finditer(run) if len(m[0]) >= LEAST["hex"])
-            if self.automata:
-                others.setdefault(i, []).append((at, run))
-        for i, runs in others.items():
-            base = list(found.get(i, []))
-            for at, run in runs:
-                if any(s < at + len(run) and at < e for s, e, _ in base) or not _mixed(run):
-                    continue
-                if any(a.score(run) >= a.cut for a in self.automata.values()):
-                    found.setdefault(i, []).append((at, at + len(run), 3))
+            access = [m for m in ACCESS.finditer(run) if len(m[0]) >= LEAST["access"]] if "AKIA" in run else []
+            hexes = [m for m in HEX.finditer(run) if len(m[0]) >= LEAST["hex"]]
+            if access or hexes:
+                i = bisect_right(bounds, a) - 1
+                at = len(joined[bounds[i] : a].decode("utf-8", "replace"))
+                found.setdefault(i, []).extend([(at + m.start(), at + m.end(), 1) for m in access] + [(at + m.start(), at + m.end(), 2) for m in hexes])
+        if self.grammar and self.grammar.cuts:
+            full = np.flatnonzero(sizes >= min(least for _, least, *_ in self.grammar.cuts.values()))
+            starts, sizes = starts[full], sizes[full]
+            stop = data == 46
+            while True:  # full stops at either end are punctuation
+                front, back = stop[starts] & (sizes > 0), stop[starts + np.maximum(sizes, 1) - 1] & (sizes > 0)
+                if not (front | back).any():
+                    break
+                starts, sizes = starts + front, np.maximum(sizes - front - back, 0)
+            for k in np.flatnonzero(self.grammar.accepted(data, starts, sizes)).tolist():
+                a, b = int(starts[k]), int(starts[k] + sizes[k])
+                i = bisect_right(bounds, a) - 1
+                at = len(joined[bounds[i] : a].decode("utf-8", "replace"))
+                # what one base span covers adds nothing
+                if not any(s <= at and at + b - a <= e for s, e, _ in found.get(i, ())):
+                    found.setdefault(i, []).append((at, at + b - a, 3))
         for i, spans in found.items():
             if spans:
                 out[begin + i] = sorted(spans, key=lambda s: (s[0], s[2]))
 
 
-def _mixed(run: str) -> bool:
-    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-
-
 def joined_spans(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def learn(docs: DataFrame, text: str = "text") -> dict[str, Automaton]:
-    """An automaton for each base kind from the distinct credentials in all texts, EXAMPLES of each at most, chosen by hash."""
+def learn(docs: DataFrame, text: str = "text") -> Grammar:
+    """An automaton for each base kind from the distinct credentials in all texts, EXAMPLES of each at most, chosen by hash; and byte pairs of all texts.
+
+    Null and empty texts teach nothing; repeated rows teach byte pairs each time and credentials once. Kinds without a credential have no automaton; an empty
+    table gives a grammar that accepts nothing. Other columns play no part.
+    """
 
     def run(batches):
-        scanner = Scanner()
+        scanner, pairs = Scanner(), np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
             texts = as_bytes(batch.column(0))
             kinds, values = [], []
@@ -221,25 +293,34 @@ def learn(docs: DataFrame, text: str = "text") -> dict[str, Automaton]:
                     m = ASSIGN.match(whole[s:e]) if k == 0 else None
                     kinds.append(KINDS[k])
                     values.append(m[2] if m else whole[s:e])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
-
-    values = written(docs.select(F.col(text)).mapInArrow(run, "kind string, value string").distinct(), "credentials")
+            for begin, end in blocks(texts):
+                data = np.frombuffer(b" ".join(texts[begin:end]), dtype=np.uint8).astype(np.intp)
+                pairs += np.bincount(data[:-1] << 8 | data[1:], minlength=1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array([1] * len(kinds), pa.int64())], names=["kind", "value", "n"])
+        at = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(at), pa.string()), pa.array(at.astype(str).tolist(), pa.string()), pa.array(pairs[at], pa.int64())], names=["kind", "value", "n"])
+
+    # credentials, and at most 65,536 pairs from a task
+    values = written(docs.select(F.col(text)).mapInArrow(run, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")), "credentials")
+    pairs = np.zeros(1 << 16, dtype=np.int64)
+    for r in values.where("kind = 'pair'").collect():
+        pairs[int(r.value)] = r.n
     out = {}
     for kind in KINDS[:3]:
         sample = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(EXAMPLES).collect()
         if sample:
             out[kind] = Automaton([r.value for r in sample])
-    return out
+    return Grammar(out, pairs)
 
 
-def scan(docs: DataFrame, automata: dict[str, Automaton], key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, grammar: Grammar | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, numbers of spans of each base kind, the digest of the base spans, all spans as text, and the number of grammar spans.
 
     A null or empty text has no spans: the digest of the empty string, spans ''. Rows are independent.
     """
 
     def run(batches):
-        scanner = Scanner(automata)
+        scanner = Scanner(grammar)
         for batch in batches:
             found = scanner.spans(as_bytes(batch.column(1)))
             rows = [found.get(i, []) for i in range(batch.num_rows)]
@@ -253,14 +334,15 @@ def scan(docs: DataFrame, automata: dict[str, Automaton], key: str = "doc_id", t
     return docs.select(key, text).mapInArrow(run, f"{key} long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long")
 
 
-def redact(docs: DataFrame, automata: dict[str, Automaton], text: str = "text", length: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, grammar: Grammar | None, text: str = "text", length: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of docs, every span of the text replaced by the mark (overlapping spans by one). Texts without spans are untouched.
 
-    Where a text changes, its number of characters is set anew in the column `length`, if there is one.
+    Where a text changes, its number of characters is set anew in the column `length`, if there is one. A null text stays null; repeated rows and rows without
+    an id are treated like all others.
     """
 
     def run(batches):
-        scanner = Scanner(automata)
+        scanner = Scanner(grammar)
         for batch in batches:
             at = batch.schema.names.index(text)
             texts = as_bytes(batch.column(at))
