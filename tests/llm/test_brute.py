@@ -175,6 +175,48 @@ def test_automaton_learns_formats():
     assert a.score("hello-world-here") < a.cut
 
 
+def test_vectorised_scores_equal_single_ones():
+    rng = np.random.default_rng(6)
+    key = lambda: "ab_" + "".join(rng.choice(list("0123456789ABCDEF"), 20))
+    a = secrets.Automaton([key() for _ in range(200)])
+    step, target, end = a.tables()
+    for text in [key(), "plain", "ab_", "9", "ab_." + key()]:
+        s = total = 0
+        for c in text:
+            total, s = total + step[s, secrets.SYMBOL.get(c, 10)], target[s, secrets.SYMBOL.get(c, 10)]
+        assert (total + end[s]) / (len(text) + 1) == pytest.approx(a.score(text))
+
+
+def test_credentials_without_their_keyword(spark, texts):
+    """Labelled credentials of three formats teach the automata; the same formats without a keyword are found, ordinary words are not."""
+    rng = np.random.default_rng(9)
+    mixed = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    random = lambda letters, n: "".join(rng.choice(list(letters), n))
+    formats = [lambda: "sk.live." + random(mixed, 24), lambda: random("ABCDEFGHJKMNPQRSTVWXYZ23456789", 15), lambda: f"{random('0123456789', 10)}:{random(mixed, 20)}".replace(":", "-")]
+    prose = [t for t in texts.values() if t]
+    keyed = [(i, f"{prose[i % len(prose)][:300]}\npassword = {formats[i % 3]()} and so on") for i in range(450)]
+    hidden = {1000 + i: formats[i % 3]() for i in range(150)}
+    rows = keyed + [(k, f"{prose[k % len(prose)][:200]} use {v}. then {prose[(k + 1) % len(prose)][:200]}") for k, v in hidden.items()]
+    plain = [(2000 + i, t) for i, t in enumerate(prose)]
+    df = spark.createDataFrame(rows + plain, "doc_id long, text string")
+    grammar = secrets.learn(df)
+    found = {r.doc_id: r.spans for r in secrets.scan(df, grammar).collect()}
+    text = dict(rows)
+    caught = 0
+    for k, v in hidden.items():
+        at = text[k].index(v)
+        caught += f"grammar:{at}:{at + len(v)}" in found[k].split(",")
+    assert caught >= 0.9 * len(hidden)
+    false = sum(found[k].count("grammar") for k, _ in plain)
+    assert false <= 0.0005 * sum(len(words(t)) for _, t in plain)
+
+
+def test_toxicity_reads_every_run_of_letters():
+    assert {"idiot$", "idio", "idiot"} <= set(toxicity.word_features("you-idiot"))
+    assert toxicity.word_features("x" * 40)[0] == "x" * 40 + "$"
+    assert toxicity.word_features("12/34") == ()
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = SF.replace("0.001", "0.01")
     got = queries.QUERIES["op3_toxicity"](spark, sf).toPandas()
@@ -215,6 +257,65 @@ def test_differencing():
     assert max(s for s, _ in parts) - min(s for s, _ in parts) <= 5
 
 
+def plain_differencing(partials, k):
+    """Karmarkar and Karp with lists sorted anew for every step: (sums, members) of k subsets; the first partitions win ties."""
+    parts = [sorted(p + [(0, [])] * (k - len(p)), key=lambda s: -s[0]) for p in partials]
+    order = list(range(len(parts)))
+    n = len(parts)
+    while len(order) > 1:
+        order.sort(key=lambda i: (parts[i][-1][0] - parts[i][0][0], i))
+        a, b = order[0], order[1]
+        joined = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(parts[a], reversed(parts[b]))]
+        parts.append(sorted(joined, key=lambda s: -s[0]))
+        order = [*order[2:], n]
+        n += 1
+    return parts[order[0]]
+
+
+def test_differencing_in_levels(spark, texts, monkeypatch):
+    """Tasks, levels and the driver together: every level's sums are those that plain differencing gives, whatever the session's partitions."""
+    monkeypatch.setattr(sharding, "GROUPS", 12)
+    monkeypatch.setattr(sharding, "FAN", 4)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(df, shards=5).collect()}
+    hashes = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(text) AS h").collect()}
+    groups = defaultdict(int)
+    for k, t in texts.items():
+        groups[hashes[k], zlib.crc32(t.encode()), len(t.encode()) + 8] += len(t.encode()) + 8
+    tasks = len(texts) // 12
+    level = defaultdict(list)
+    for key in sorted(groups):
+        level[key[0] % tasks].append([(groups[key], [key])])
+    parts = [plain_differencing(level[t], 5) for t in sorted(level)]
+    ids = sorted(level)
+    while len(parts) > 1:
+        up = defaultdict(list)
+        for t, p in zip(ids, parts):
+            up[t // 4 if tasks > 4 else 0].append(p)
+        tasks = -(-tasks // 4)
+        ids, parts = sorted(up), [plain_differencing(up[t], 5) for t in sorted(up)]
+    want = sorted(s for s, _ in parts[0])
+    sums = Counter()
+    for k, (shard, _) in got.items():
+        sums[shard] += len(texts[k].encode()) + 8
+    assert sum(sums.values()) == sum(want) and max(sums.values()) - min(sums.values()) <= 2 * (max(want) - min(want)) + 64
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(df, shards=5).collect()} == got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_differencing_equals_the_plain_method(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.choice(10_000, 60, replace=False).tolist()
+    got = sharding.difference([[(x, i)] for i, x in enumerate(sizes)], 6)
+    want = plain_differencing([[(x, [i])] for i, x in enumerate(sizes)], 6)
+    assert sorted(s for s, _ in got) == sorted(s for s, _ in want)
+
+
 @pytest.fixture(scope="module")
 def library():
     import sentencepiece
@@ -333,6 +434,63 @@ def test_mined_rules_block(spark):
     assert {r.page_id for r in got if r.verdict == "block"} == {i for i in range(400) if i % 4 == 0}
 
 
+def test_labels_that_ignore_urls_give_no_rule(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"http://{rng.choice(['a', 'b', 'c'])}{rng.integers(40)}.org/{rng.choice(['x', 'y', 'z'])}/{rng.choice(['p', 'q'])}{rng.integers(30)}?{rng.choice(['u', 'v'])}=1") for i in range(1500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(rng.integers(2)), 0) for i in range(1500)], "doc_id long, quality int, toxic int")
+    assert url_filter.judge(pages, labels).where("verdict = 'block'").count() == 0
+
+
+def brute_rules(labelled, least, confidence):
+    """All significant token combinations of one to four tokens, without those that a smaller one makes needless, by plain counting."""
+    from itertools import combinations
+
+    n, blocked = len(labelled), sum(b for _, b in labelled)
+    seen, hit = Counter(), Counter()
+    for toks, b in labelled:
+        for k in range(1, 5):
+            for c in combinations(sorted(toks), k):
+                seen[c] += 1
+                hit[c] += b
+    return {c: hit[c] / seen[c] for c in seen if hit[c] >= least and hit[c] / seen[c] >= max(confidence, blocked / n)}, seen
+
+
+def test_mined_rules_are_those_of_plain_counting(spark):
+    rng = np.random.default_rng(2)
+    labelled = []
+    for _ in range(600):
+        toks = {f"path={x}" for x in rng.choice(list("abcdefgh"), 4, replace=False)}
+        bad = {"path=a", "path=b"} <= toks or {"path=c", "path=d", "path=e"} <= toks
+        labelled.append((sorted(toks), bool(bad if rng.random() < 0.97 else not bad)))
+    df = spark.createDataFrame(labelled, "tokens array<string>, blocked boolean")
+    rules, items = url_filter.mine(df)
+    got = {tuple(r.tokens): r.confidence for r in rules.collect()}
+    every, seen = brute_rules(labelled, 5, 0.6)
+    assert ("path=a", "path=b") in got and ("path=c", "path=d", "path=e") in got
+    assert all(c in every and every[c] == pytest.approx(p) for c, p in got.items())
+    for c in got:  # none that a smaller one makes needless
+        assert not any(set(g) < set(c) and got[g] >= got[c] for g in got)
+    assert {r.token for r in items.collect()} == {f"path={x}" for x in "abcdefgh"}
+
+
+def test_rules_of_many_tokens_and_repeated_long_urls(spark):
+    """A combination of six tokens is found, and a url of forty tokens that repeats is no more work than a short one."""
+    rng = np.random.default_rng(5)
+    rows, block = [], {}
+    for i in range(900):
+        parts = [f"{c}{'1' if rng.random() < 0.55 else '0'}" for c in "mnopqr"]
+        block[i] = all(p.endswith("1") for p in parts)
+        rows.append((i, "http://h.org/" + "/".join(parts)))
+    long = "http://long.org/" + "/".join(f"w{j}x" for j in range(40))
+    rows += [(i, long) for i in range(900, 940)]
+    block |= {i: True for i in range(900, 940)}
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, b in block.items()], "doc_id long, quality int, toxic int")
+    got = {r.page_id for r in url_filter.judge(pages, labels).collect() if r.verdict == "block"}
+    assert got == {i for i, b in block.items() if b}
+
+
 def test_fingerprints(spark, texts):
     got = {r.doc_id: r for r in result(spark, "op9_fingerprints").itertuples()}
     keys = sorted(texts)
@@ -374,3 +532,45 @@ def test_texts_together_have_their_own_features(texts):
     some = [t.encode() for t in texts.values()] + [b"", b"x", b"ab " * 30, b"a" * 500, b"a" * 127 + b"bcdefgh", b"the quick brown fox " * 9]
     together = fingerprints.features_of(some)
     assert all((a == fingerprints.features(t)).all() and len(a) == len(fingerprints.features(t)) for a, t in zip(together, some))
+
+
+def test_pipeline_against_plain_versions(spark, texts, library):
+    """Every stage on the smallest tables: what it keeps or changes, from the stage's own input."""
+    import corpus_pipeline
+    from tributary.llm.common import table
+
+    docs = table(spark, SF, "documents")
+    before = {r.doc_id: r.text or "" for r in docs.collect()}
+    model = toxicity.train(docs, table(spark, SF, "labels"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        out = spark.createDataFrame(out.collect(), out.schema)
+        if name != "sentencepiece":
+            after = {r.doc_id: r.text or "" for r in out.collect()}
+            assert out.columns == docs.columns
+        if name == "toxicity":
+            assert after == {k: t for k, t in before.items() if model.score(t) < 0.3}
+        elif name == "near_duplicates":
+            component = brute_components({k: shingles(t, 5) for k, t in before.items()})
+            assert after == {k: t for k, t in before.items() if component[k] == k}
+        elif name == "decontamination":
+            items = [shingles_of(t) for t in pq.read_table(f"{SF}/benchmark.parquet").column("text").to_pylist()]
+            held = lambda t: any(q and len(q & shingles_of(t)) >= 0.8 * len(q) for q in items)
+            assert after == {k: t for k, t in before.items() if not held(t)}
+        elif name == "secrets":
+            assert after.keys() == before.keys()
+            for k, t in before.items():
+                spans = secrets.Scanner().spans([t.encode()]).get(0, [])
+                assert not spans or all(t[s:e] not in after[k] or len(t[s:e]) < 6 for s, e, _ in spans)
+                assert spans or after[k] == t or "[SECRET]" in after[k]
+        else:
+            for r in out.collect():
+                assert r.ids == library.encode(before[r.doc_id]) and r.decoded == library.decode(r.ids) and r.n_tokens == len(r.ids)
+            assert out.count() == len(before)
+            break
+        docs, before = out, after
+
+
+def shingles_of(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}

@@ -78,7 +78,8 @@ def test_secrets(docs, empty):
     assert got[10].spans == "assign:0:49,hex:9:49"
     red = {r.doc_id: r for r in secrets.redact(docs, automata).collect()}
     assert red[10].text == "[SECRET]\" you idiot" and red[10].n_chars == len(red[10].text) and red[1].text is None
-    assert secrets.learn(empty) == {} and secrets.scan(empty, {}).count() == 0
+    nothing = secrets.learn(empty)
+    assert nothing.automata == {} and secrets.scan(empty, nothing).count() == secrets.scan(empty, None).count() == 0
 
 
 def test_toxicity(docs, empty, labels):
@@ -163,6 +164,18 @@ def test_pipeline_stages(spark, docs, empty, labels, benchmark, tmp_path):
             if i < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == df.columns
             out.write.mode("overwrite").parquet(f"{tmp_path}/out{i}-{len(frame.columns)}")
-            df = spark.read.parquet(f"{tmp_path}/out{i}-{len(frame.columns)}")
+            out = spark.read.parquet(f"{tmp_path}/out{i}-{len(frame.columns)}")
+            # the prior of a few labels is too high for any document to stay, so the next stage starts from all
+            df = out if i else frame
         assert {"doc_id", "ids", "n_tokens", "decoded"} <= set(df.columns)
-        assert df.count() == (0 if frame is empty else df.count())
+        kept = sorted((r.doc_id or 0, len(r.ids), r.n_tokens, r.decoded) for r in df.collect())
+        assert all(n == m and (n > 0) == bool(d) for _, n, m, d in kept)
+        # 5 and 6 hold the benchmark item
+        assert frame is empty and not kept or {1, 2, 3} <= {k for k, *_ in kept} and not {5, 6} & {k for k, *_ in kept}
+
+
+def test_contamination_needs_no_id(spark, benchmark):
+    item = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id").first().text
+    rows = [(None, f"x {item} y"), (None, "clean text of some words here"), (1, f"{item}"), (2, None)]
+    out = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(0, "clean text of some words here"), (2, "")]
