@@ -365,21 +365,115 @@ def test_language_model(spark, texts):
     assert out.score.sum() > out.base_score.sum()
 
 
+def small_model(texts, sweeps, own):
+    """Model and words of a few texts in one bucket; own: the words with restaurants of their own."""
+    wanted = np.unique(hpy_lm.classed_words([own])[0])
+    contexts = hpy_lm.Contexts(wanted)
+    keys, counts = np.unique(hpy_lm.keyed_tokens(texts, contexts)[0], return_counts=True)
+    w = hpy_lm.Words(0, keys, counts, contexts)
+    customers = np.bincount(w.place, weights=w.customers, minlength=len(contexts))
+    model = hpy_lm.Model(int(counts.sum()), len(w.words), np.bincount(w.cls, weights=w.direct, minlength=256), customers, (0.5, 0.5, 0.5), contexts)
+    for _ in range(sweeps + 1):
+        *_, state = model.replay(w, len(model.history))
+        model.history.append(state.tables(len(contexts)))
+    return model, w
+
+
 def test_language_model_sums_to_one():
-    """Probabilities of all known words and one unknown word add up to one in every class."""
+    """Probabilities of all known words and one unknown word add up to one in every restaurant, of a class or of a word."""
     texts = [b"a b c a b", b"the cat sat", b"c c c a", b"dog"] * 5
-    keys, counts = np.unique(hpy_lm.keyed_tokens(texts)[0], return_counts=True)
-    w = hpy_lm.Words(0, keys, counts)
-    model = hpy_lm.Model(int(counts.sum()), len(w.words), np.bincount(w.cls, weights=counts, minlength=256), (0.5, 0.5, 0.5))
-    for _ in range(4):
-        *_, state = model.replay(w, len(model.history))
-        model.history.append(state.tables())
+    model, w = small_model(texts, 3, b"a c the")
+    assert len(model.contexts) == 259 and model.customers[256:].sum() == 5 * (3 + 4 + 1)
     unknown = np.array([1 << 20], dtype=np.uint64)
-    for cls in (0, 77, 255):
-        asked = np.concatenate((w.words, unknown)) | np.uint64(cls)
+    for place in (0, 77, 255, 256, 257, 258):
+        asked = np.concatenate((w.words, unknown)) | np.uint64(place)
         assert model.predict(w, asked).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_language_model_learns_pairs_of_words():
+    """After each word of two that end alike its own follower is likely; without restaurants of their own they share one."""
+    texts = [b"red fox", b"sacred owl"] * 50
+    asked = lambda own: (lambda model, w: model.predict(w, hpy_lm.keyed_tokens([b"red fox", b"red owl"], model.contexts)[0]))(*small_model(texts, 3, own))
+    apart, shared = asked(b"red sacred"), asked(b"")
+    assert apart[1] > 0.9 and apart[4] < 0.05
+    assert 0.3 < shared[1] < 0.7 and 0.3 < shared[4] < 0.7
+
+
+def plain_sampler(texts, own, discount, strength, sweeps, burn_in, seed):
+    """Predictive probabilities by a Gibbs sampler that moves one customer at a time, tables kept as lists; by (context, word)."""
+    rng = np.random.default_rng(seed)
+    tables = {}  # (restaurant, word) -> sizes of its tables
+    totals = Counter()  # customers of a restaurant
+    opened = Counter()  # tables of a restaurant
+    v = len({w for t in texts for w in [*t.split(), None]})
+    parent = lambda r: "class" if r in own else "root"
+
+    def p(r, w):
+        if r is None:
+            return 1 / (v + 1)
+        sizes = tables.get((r, w), [])
+        back = strength + discount * opened[r]
+        return (sum(sizes) - discount * len(sizes) + back * p(None if r == "root" else parent(r), w)) / (strength + totals[r])
+
+    def enter(r, w):
+        if r is None:
+            return
+        up = None if r == "root" else parent(r)
+        sizes = tables.setdefault((r, w), [])
+        weights = np.array([s - discount for s in sizes] + [(strength + discount * opened[r]) * p(up, w)])
+        at = rng.choice(len(weights), p=weights / weights.sum())
+        totals[r] += 1
+        if at == len(sizes):
+            sizes.append(1)
+            opened[r] += 1
+            enter(up, w)
+        else:
+            sizes[at] += 1
+
+    def leave(r, w):
+        if r is None:
+            return
+        sizes = tables[r, w]
+        at = rng.choice(len(sizes), p=np.array(sizes) / sum(sizes))
+        totals[r] -= 1
+        sizes[at] -= 1
+        if not sizes[at]:
+            del sizes[at]
+            opened[r] -= 1
+            leave(None if r == "root" else parent(r), w)
+
+    customers = [(a if a in own else "class", b) for t in texts for ws in [t.split()] for a, b in zip([None, *ws], [*ws, None])]
+    for r, w in customers:
+        enter(r, w)
+    mean, n = Counter(), 0
+    asked = {(r, w) for r in [*own, "class"] for _, w in customers}
+    for i in range(sweeps):
+        for k in rng.permutation(len(customers)):
+            leave(*customers[k])
+            enter(*customers[k])
+        if i >= burn_in:
+            n += 1
+            for a in asked:
+                mean[a] += p(*a)
+    return {a: x / n for a, x in mean.items()}
+
+
+def test_language_model_agrees_with_a_plain_sampler(monkeypatch):
+    """Averaged probabilities of a small corpus, all of whose words are of one class, against a sampler of single customers."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{x}zz" for x in "abcdefgh"]
+    texts = [" ".join(rng.choice(vocabulary, 6, p=np.array([30, 20, 15, 10, 10, 5, 5, 5]) / 100)) + " azz bzz" for _ in range(12)]
+    own = ["azz", "bzz"]
+    monkeypatch.setattr(hpy_lm, "START_CLASS", int(hpy_lm.classed_words([b"azz"])[0][0] & hpy_lm._PLACE))
+    model, w = small_model([t.encode() for t in texts], 300, b"azz bzz")
+    want = plain_sampler(texts, own, 0.5, hpy_lm.STRENGTH, 300, 50, 7)
+    assert model.tokens == sum(len(t.split()) + 1 for t in texts)
+    for r in own:
+        probes = [f"{r} {x}".encode() for x in vocabulary]
+        got = [model.predict(w, hpy_lm.keyed_tokens([x], model.contexts)[0][1:2])[0] for x in probes]
+        assert got == pytest.approx([want[r, x] for x in vocabulary], rel=0.15, abs=0.005)
+
+
 def test_seating_follows_the_restaurant_rule():
     got = hpy_lm.seat(np.full(20_000, 5.0), np.full(20_000, 0.7), 0.3, np.random.default_rng(0)).mean()
     dist = {1: 1.0}
