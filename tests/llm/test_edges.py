@@ -1,6 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator and pipeline stage."""
 
+import hashlib
+
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tributary.llm import decontaminate, fingerprints, hpy_lm, near_dup, secrets, sharding, tokens, toxicity, url_filter
@@ -140,6 +143,20 @@ def test_url_filter(spark, labels):
     assert url_filter.judge(pages.where("false"), labels).count() == 0
 
 
+def test_fingerprints_of_rows_without_ids(spark):
+    """They come first, in the order of Spark's hash of their texts, and spread over parts."""
+    rows = [(None, f"text number {i} " + "of many words " * (i % 7)) for i in range(300)] + [(i, f"row {i} with an id") for i in range(-20, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    parts = {r.part for r in fingerprints.neighbours(docs).where("copy = 0 AND doc_id IS NULL").collect()}
+    assert len(parts) > 4
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), seed=42) + (1 << 63)) % (1 << 64)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, signed(r[1]) if r[0] is None else r[0]))
+    follower = {r: ordered[(i + 1) % len(ordered)][1] for i, r in enumerate(ordered)}
+    want = sorted((k is None, k or 0, hashlib.sha256(fingerprints.edited(t, follower[k, t]).encode()).hexdigest()) for k, t in rows)
+    got = fingerprints.fingerprint_edits(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.edited_sha256) for r in got) == want
+
+
 def test_fingerprints(docs, empty, spark):
     got = fingerprints.fingerprint_edits(docs).collect()
     assert len(got) == len(ROWS)

@@ -223,26 +223,26 @@ def edited(text: str, other: str) -> str:
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, text, part, copy), in partitions by part: all rows, and for each part the first rows of the next one as copies (copy 1).
 
-    Parts are ranges of the key between quantiles. The last part gets the first rows of all. Only the key column is read for the bounds; the texts
-    shuffle once. Null keys come first.
+    Parts are ranges of the key between quantiles; before them come ranges of the text's hash, for null keys, which are in the order of that hash. The last
+    part gets the first rows of all. Only the key column is read for the bounds; the texts shuffle once.
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
     # several parts for each partition, so that those which meet in one by hash even out
     wanted_parts = PARTS * n
     cuts = sorted(set(rows.approxQuantile(key, [i / wanted_parts for i in range(1, wanted_parts)], max(0.2 / wanted_parts, 1e-4))))
-    # a binary search on the key as a double, which keeps the order; null keys come first
-    bucketizer = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="_at", outputCol="part")
-    rows = bucketizer.transform(rows.withColumn("_at", F.coalesce(F.col(key).cast("double"), F.lit(-math.inf)))).drop("_at")
-    part = F.col("part").cast("int")
-    firsts = rows.groupBy(part.alias("part")).agg(F.min(F.struct(F.col(key).isNotNull().alias("known"), F.col(key))).alias("f")).orderBy("part").collect()  # a row for each part
-    known = [(r.part, r.f[key]) for r in firsts]
-    to = {known[(i + 1) % len(known)]: known[i][0] for i in range(len(known))}
-    # (key of a part's first rows, part that needs them as copies); at most one for each part
-    wanted = docs.sparkSession.createDataFrame([(k, p) for (_, k), p in to.items()], f"{key} long, copied_to int")
-    dealt = rows.withColumn("part", part)
-    copies = rows.join(F.broadcast(wanted), rows[key].eqNullSafe(wanted[key])).select(rows[key], text, F.col("copied_to").alias("part"), F.lit(1).alias("copy"))
-    return dealt.select(key, text, "part", F.lit(0).alias("copy")).unionByName(copies).repartition(n, "part").sortWithinPartitions("part", "copy", key, text)
+    rows = rows.withColumn("known", F.col(key).isNotNull()).withColumn("at", F.coalesce(F.col(key), F.xxhash64(text)))
+    # a binary search on the key as a double, which keeps the order
+    bucketizer = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="_at", outputCol="_part")
+    rows = bucketizer.transform(rows.withColumn("_at", F.col("at").cast("double"))).drop("_at")
+    of_hash = F.shiftright((F.shiftright("at", 33) + (1 << 30)) * wanted_parts, 31)
+    rows = rows.withColumn("part", F.when(F.col("known"), F.col("_part").cast("int") + wanted_parts).otherwise(of_hash.cast("int"))).drop("_part")
+    firsts = rows.groupBy("part").agg(F.min(F.struct("known", "at")).alias("f")).orderBy("part").collect()  # a row for each part
+    # (first place of a part, part that needs its rows as copies); one for each part
+    wanted = docs.sparkSession.createDataFrame([(b.f.known, b.f.at, a.part) for a, b in zip(firsts, firsts[1:] + firsts[:1])], "known boolean, at long, copied_to int")
+    copies = rows.join(F.broadcast(wanted), ["known", "at"]).groupBy("known", "at", key, F.col("copied_to").alias("part")).agg(F.min(text).alias(text))
+    dealt = rows.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1))).repartition(n, "part").sortWithinPartitions("part", "copy", "at", text)
+    return dealt.select(key, text, "part", "copy")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -251,7 +251,7 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Per row of (doc_id, text): the digests of the text and of its edited form, and how like the text's digest is to that and to the next row's.
 
-    The next row is that of the next doc_id (ties by text, null first), after the last the first. A null text counts as empty: no filters, an empty
+    The next row is that of the next doc_id (ties by text; null first, by the texts' hashes), after the last the first. A null text counts as empty: no filters, an empty
     fingerprint. An empty table gives no rows.
     """
 
