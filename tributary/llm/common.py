@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,30 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What a worker process keeps from task to task, by kind. Workers live on from stage to stage, so tasks of other stages give it up.
+KEPT: dict = {}
+
+
+def give_up() -> None:
+    """Drop what other stages keep in this process, and hand free memory back to the system: it counts beside that of the JVM."""
+    KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """run over a task's batches, in a process that holds nothing from other stages then, and no free memory afterwards."""
+
+    def task(batches):
+        give_up()
+        yield from run(batches)
+        give_up()
+
+    return task
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -164,6 +190,4 @@ def blocks(texts: list[bytes], most: int = 1 << 20):
 
 def as_bytes(column) -> list[bytes]:
     """Texts of an Arrow string or binary column as UTF-8 bytes; null as empty."""
-    import pyarrow as pa
-
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, blocks, drop_written, mix64, table, word_hashes, written
+from .common import as_bytes, blocks, drop_written, lean, mix64, table, word_hashes, written
 from .components import components
 
 BANDS, ROWS, BITS = 32, 5, 4
@@ -98,7 +98,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                     names=["doc_id", "h", "cls", "n", "bands", "bits"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, " + ", ".join(_SIGNED))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(lean(run), "doc_id long, h long, " + ", ".join(_SIGNED))
 
 
 def class_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -111,7 +111,7 @@ def class_sets(docs: DataFrame, words: int) -> DataFrame:
                 sets = [s for s in shingle_sets(texts[begin:end], words) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "cls long, shingles binary")
+    return docs.select("text").mapInArrow(lean(run), "cls long, shingles binary")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -147,7 +147,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return with_both.mapInArrow(run, "a long, b long")
+    return with_both.mapInArrow(lean(run), "a long, b long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def _prefixes(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFra
             values = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64())), batch.column(2)], names=["cls", "shingles", "root"])
 
-    wanted = sets.join(open_classes, "cls").select("cls", "shingles", "root").mapInArrow(listed, "cls long, shingles array<long>, root long")
+    wanted = sets.join(open_classes, "cls").select("cls", "shingles", "root").mapInArrow(lean(listed), "cls long, shingles array<long>, root long")
     each = wanted.select("cls", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     df = each.groupBy("s").agg(F.count("*").alias("df"), F.min("root").alias("least"), F.max("root").alias("most"))
     placed = each.join(df, "s").withColumn("at", F.row_number().over(Window.partitionBy("cls").orderBy("df", "s")))

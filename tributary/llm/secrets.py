@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, table, written
+from .common import as_bytes, blocks, lean, table, written
 
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -301,7 +301,7 @@ def learn(docs: DataFrame, text: str = "text") -> Grammar:
         yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(at), pa.string()), pa.array(at.astype(str).tolist(), pa.string()), pa.array(pairs[at], pa.int64())], names=["kind", "value", "n"])
 
     # credentials, and at most 65,536 pairs from a task
-    values = written(docs.select(F.col(text)).mapInArrow(run, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")), "credentials")
+    values = written(docs.select(F.col(text)).mapInArrow(lean(run), "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")), "credentials")
     pairs = np.zeros(1 << 16, dtype=np.int64)
     for r in values.where("kind = 'pair'").collect():
         pairs[int(r.value)] = r.n
@@ -331,7 +331,7 @@ def scan(docs: DataFrame, grammar: Grammar | None, key: str = "doc_id", text: st
                 names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar"],
             )
 
-    return docs.select(key, text).mapInArrow(run, f"{key} long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long")
+    return docs.select(key, text).mapInArrow(lean(run), f"{key} long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long")
 
 
 def redact(docs: DataFrame, grammar: Grammar | None, text: str = "text", length: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
@@ -365,7 +365,7 @@ def redact(docs: DataFrame, grammar: Grammar | None, text: str = "text", length:
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

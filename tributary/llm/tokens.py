@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import KEPT, table
 from .piece_bpe import Decoder, HeapCounter, PrefixTable, Vocabulary
 
 MODEL = "piece_bpe_32k.model"
@@ -26,14 +26,11 @@ def _shipped(df: DataFrame, model_path: str):
     return df.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
 
 
-_ENGINES: dict = {}
-
-
 def _engine(kind, vocabulary: Vocabulary):
     """One engine of a kind for each worker process and vocabulary, with what it has in memory; another vocabulary replaces it."""
-    held = _ENGINES.get(kind)
+    held = KEPT.get(kind)
     if held is None or held.source != vocabulary.source:
-        held = _ENGINES[kind] = kind(vocabulary)
+        held = KEPT[kind] = kind(vocabulary)
         held.source = vocabulary.source
     return held
 

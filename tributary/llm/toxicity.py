@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, partitions, table, written
+from .common import id_crc, lean, partitions, table, written
 
 #: Documented bounds of the training sample, which is chosen by hash; all else covers every row.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n_p, n_u = sample.agg(F.sum(F.col("positive").cast("long")), F.sum((~F.col("positive")).cast("long"))).first()
     if not n_p or not n_u:
         return Model({}, float(np.log(prior / (1 - prior))))
-    by_feature = sample.mapInArrow(sums, "f string, p double, pp double, u double, uu double").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("p", "pp", "u", "uu")))
+    by_feature = sample.mapInArrow(lean(sums), "f string, p double, pp double, u double, uu double").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("p", "pp", "u", "uu")))
     # means and spread among positives and unlabelled texts; a small constant keeps features of single texts down
     mean_p, mean_u = F.col("p") / n_p, F.col("u") / n_u
     spread = F.sqrt((F.col("pp") / n_p + F.lit(2.0) / n_p) / n_p + (F.col("uu") / n_u + F.lit(2.0) / n_u) / n_u)
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["positive", "at", "x"])
 
     # bounded: at most MAX_POSITIVE + MAX_UNLABELLED rows of at most FEATURES values
-    got = sample.mapInArrow(rows, "positive boolean, at array<int>, x array<float>").toArrow()
+    got = sample.mapInArrow(lean(rows), "positive boolean, at array<int>, x array<float>").toArrow()
     # one order whatever the partitions, so that sums round alike
     ordered = sorted(zip(*(got.column(c).to_pylist() for c in ("positive", "at", "x"))))
     positive, at, x = zip(*ordered)
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             scores = [model.score(x or "") for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
@@ -216,7 +216,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: str
             texts = batch.column(batch.schema.names.index(text)).to_pylist()
             yield batch.filter(pa.array([model.score(x or "") < threshold for x in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
