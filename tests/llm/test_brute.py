@@ -481,7 +481,7 @@ def whole_model(texts, sweeps, discounts):
     cells = Counter(zip(before.tolist(), (keys[at] & hpy_lm._WORD).tolist()))
     found = hpy_lm.by_context(*(np.array([c[i] for c in cells], dtype=np.uint64) for i in (0, 1)), np.array(list(cells.values())))
     own = hpy_lm.Pairs(found["contexts"], found["dishes"], found["words"][found["word_at"]], found["times"], 1)
-    [(_, sent, once, many, times, dishes)] = own.letters()
+    [(_, sent, once, many, times, dishes, _)] = own.letters()
     first = np.delete(keys, at)
     distinct, places = np.unique(np.concatenate((sent, first)), return_inverse=True)
     counts = np.bincount(places, weights=np.concatenate((once, np.ones(len(first)))))
@@ -539,7 +539,7 @@ def scores(spark, monkeypatch, texts, learn, buckets, contexts, frequent, sweeps
             got = {r.doc_id: r.score for r in hpy_lm.score(rows, rows.where(rows.doc_id < learn), sweeps).collect()}
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", before)
-    return [got[i] for i in range(len(texts))], models[0][0]
+    return [got[i] for i in range(len(texts))], *models[0]
 
 
 def test_language_model_gathers_pairs_of_rare_words(spark, monkeypatch):
@@ -550,7 +550,7 @@ def test_language_model_gathers_pairs_of_rare_words(spark, monkeypatch):
     rng = np.random.default_rng(8)
     texts = ["red fox", "sacred owl"] * 40 + [" ".join(rng.choice(["ant", "bee", "cow", "Doe", "elk"], 6)) for _ in range(60)]
     asked = [*texts, "red owl", "sacred fox", "red new", "new fox", "", None]
-    got, model = scores(spark, monkeypatch, asked, len(texts), 1, 1, 1, 12)
+    got, model, _ = scores(spark, monkeypatch, asked, len(texts), 1, 1, 1, 12)
     assert len(model.contexts) == 256 and model.tokens == sum(len(x.split()) + 1 for x in texts)
     assert got[0] - got[len(texts)] > 1, "the words share a class, not a restaurant"
     after, _, w = whole_model([x.encode() for x in texts], 12, model.discounts)
@@ -558,9 +558,15 @@ def test_language_model_gathers_pairs_of_rare_words(spark, monkeypatch):
         words = hpy_lm.classed_words([(text or "").encode()])[0]
         tokens = np.append(words, hpy_lm.END)
         assert score == pytest.approx(sum(after(c, tokens[k : k + 1])[0] for k, c in enumerate([np.uint64(hpy_lm.START_CLASS), *words])), rel=1e-9)
-    for buckets, contexts, frequent, own in ((5, 10, 5, 5), (4, 10_000, 1_000, 9)):
-        other, model = scores(spark, monkeypatch, asked, len(texts), buckets, contexts, frequent, 12)
+    for buckets, contexts, frequent, own in ((5, 10, 5, 5), (3, 10, 10, 5), (4, 10_000, 1_000, 9)):
+        other, model, cells = scores(spark, monkeypatch, asked, len(texts), buckets, contexts, frequent, 12)
         assert len(model.contexts) == 256 + own
+        assert bool(model.sent[0].any()) == (own < 9), "pairs that are seated with their context"
+        held = list(hpy_lm._each_bucket(cells.toArrow().to_batches(), model.contexts))
+        for place in range(0, 256 + own, 13):
+            p = sum(model.predict(w, w.words | np.uint64(place)).sum() for w in held)
+            unknown = model.predict(hpy_lm.Words(0, w.words[:0], w.counts[:0], model.contexts), np.array([1 << 20 | place], dtype=np.uint64))[0]
+            assert p + unknown == pytest.approx(1, abs=1e-6)
         assert other == pytest.approx(got, rel=0.1, abs=0.1)
 
 

@@ -11,7 +11,8 @@ Restaurants of words that make up 1 / CONTEXTS of the training tokens are number
 513 at most) return to the driver. The others, however many, lie in the bucket of their context. That bucket counts the pairs, so it knows a restaurant's
 customers and dishes; it tells the words' buckets each pair's class, times and the restaurant's dishes, and they reply with the class's averaged probability
 of the word and the pair's averaged tables. A pair that occurs once has one table whatever is sampled; the others are seated in every sweep, where the number of tables
-of the restaurant stays that of its dishes, its first seating. The predictive probability has the averaged tables, so it adds up to one. It is that of the class times
+of the restaurant stays that of its dishes, its first seating. Where their second word is frequent (below), they are seated in their context's bucket, as guests, so that no
+bucket has all pairs of such a word: what they send to its class's restaurant, and the probability they meet there, are those of the sweep before. The predictive probability has the averaged tables, so it adds up to one. It is that of the class times
 the context's back-off times a gain that only seen pairs have, so a token asks its word's bucket and its context's, and neither asks the other.
 
 Counts of all training texts are combined by (word, restaurant) or pair before they shuffle. Words that make up at least 1 / FREQUENT of the training tokens (so
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _FOLD, as_bytes, blocks, drop_written, id_crc, lean, mix64, partitions, table, word_hashes, written
+from .common import _FOLD, as_bytes, blocks, drop_written, give_up, id_crc, lean, mix64, partitions, table, word_hashes, written
 
 CLASSES, CONTEXTS = 256, 10_000
 SWEEPS, BURN_IN = 4, 1
@@ -55,8 +56,10 @@ _SECOND = (mix64(np.arange(256, dtype=np.uint64) + np.uint64(977)) % np.uint64(1
 class Contexts:
     """The words with a restaurant of their own, and the class that is each restaurant's parent (a class is its own)."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, frequent: np.ndarray = np.empty(0, dtype=np.uint64)):
+        """frequent: words whose pairs with contexts that aren't numbered are seated in the contexts' buckets."""
         keys = np.sort(keys)  # word and class
+        self.frequent = np.sort(frequent)
         self.words = keys & _WORD
         self.parent = np.concatenate((np.arange(CLASSES), (keys & _PLACE).astype(np.intp)))
 
@@ -129,12 +132,14 @@ def find_contexts(docs: DataFrame) -> Contexts:
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["key", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([tokens], pa.int64())], names=["key", "n"])
 
-    counts = written(docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
-    tokens = counts.where("key IS NULL").agg(F.sum("n")).first()[0] or 0
+    counts = written(docs.select("text").mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
+    tokens, words = (counts.where(f"key IS {x}").agg(F.sum("n")).first()[0] or 0 for x in ("NULL", "NOT NULL"))
     least = max(-(-tokens // CONTEXTS), 1)
-    keys = counts.where(F.col("key").isNotNull() & (F.col("n") >= least)).select("key").toArrow().column("key").to_numpy()
+    found = counts.where(F.col("key").isNotNull() & (F.col("n") >= least)).select("key", "n").toArrow()
     drop_written(counts)
-    return Contexts(keys.astype(np.int64).view(np.uint64))
+    keys = found.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    frequent = keys[found.column("n").to_numpy() * FREQUENT >= tokens] & _WORD
+    return Contexts(keys, np.append(frequent, END) if (tokens - words) * FREQUENT >= tokens else frequent)
 
 
 def bucket_edges(keys: np.ndarray, n: int) -> np.ndarray:
@@ -242,13 +247,14 @@ def joined(parts: list[np.ndarray], kind=np.int64) -> np.ndarray:
 
 
 _COUNTED = "bucket int, keys binary, counts binary, contexts binary, dishes binary, words binary, word_at binary, times binary"
-_LETTERS = "bucket int, source int, keys binary, counts binary, many binary, times binary, dishes binary"
-_OF_WORDS = "bucket int, keys binary, counts binary, many binary, times binary, dishes binary"
+_OF_FREQUENT = "more binary, guests binary, guest_times binary, guest_dishes binary"
+_LETTERS = f"bucket int, source int, keys binary, counts binary, many binary, times binary, dishes binary, {_OF_FREQUENT}"
+_OF_WORDS = f"bucket int, keys binary, counts binary, many binary, times binary, dishes binary, {_OF_FREQUENT}"
 _SENT = "sources binary, source_keys binary, source_at binary, source_many binary"
 _SEATED = "states array<binary>, tables binary"
 _REPLIES = "bucket int, source int, chances binary, seats binary"
 #: How a column is packed: as rising integers unless it is here.
-_PACK = {x: (plain, unplain) for x in ("counts", "dishes", "word_at", "times", "place", "pair_place", "runs", "pair_runs", "source_keys", "source_many")}
+_PACK = {x: (plain, unplain) for x in ("counts", "dishes", "word_at", "times", "place", "pair_place", "runs", "pair_runs", "source_keys", "source_many", "more", "guests", "guest_times", "guest_dishes")}
 _PACK |= {x: (floats, unfloats) for x in ("chances", "seats", "tables")}
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
@@ -315,6 +321,7 @@ def count_pairs(docs: DataFrame, n: int, contexts: Contexts) -> DataFrame:
             yield from of_pairs(found)
 
     def merge(group: pa.Table) -> pa.Table:
+        give_up()
         k, c = summed(joined(_all(group, "keys")).view(np.uint64), joined(_all(group, "counts")))
         found = [_pairs(group, i) for i in range(group.num_rows)]
         before, words, times = (joined(x) for x in zip(*((np.repeat(own, dishes), words, times) for own, dishes, words, times in found)))
@@ -328,29 +335,36 @@ def count_pairs(docs: DataFrame, n: int, contexts: Contexts) -> DataFrame:
 class Pairs:
     """The restaurants of one bucket's contexts that aren't numbered, as count_pairs gives them."""
 
-    def __init__(self, contexts: np.ndarray, dishes: np.ndarray, words: np.ndarray, times: np.ndarray, n: int):
+    def __init__(self, contexts: np.ndarray, dishes: np.ndarray, words: np.ndarray, times: np.ndarray, n: int, frequent: np.ndarray = np.empty(0, dtype=np.uint64)):
         self.contexts, self.dishes, self.words, self.times, self.n = contexts, dishes, words, times, n
         self.own = np.repeat(np.arange(len(contexts)), dishes)
         cells = words | (contexts & _PLACE)[self.own]
         self.keys, self.at = np.unique(cells, return_inverse=True)  # word and class
-        many = np.flatnonzero(times > 1)
+        word, is_frequent = _find(frequent, words)
+        self.guests = np.flatnonzero((times > 1) & is_frequent)
+        self.guest_cells = word[self.guests] * CLASSES + (cells[self.guests] & _PLACE).astype(np.intp)
+        many = np.flatnonzero((times > 1) & ~is_frequent)
         self.many = many[np.argsort(cells[many], kind="stable")]
         self.key_edges, self.many_edges = bucket_edges(self.keys, n), bucket_edges(cells[self.many], n)
 
     def letters(self):
-        """What each bucket of words must know: the bucket, keys, pairs of each that occur once; and of the others the key, times, and dishes of the restaurant."""
+        """What each bucket of words must know: the bucket, keys, pairs of each that occur once; of the others the key, times, and dishes of the restaurant; and
+
+        by key, how often those pairs occur that are seated here, the guests.
+        """
+        more = np.bincount(self.at[self.guests], weights=self.times[self.guests], minlength=len(self.keys))
         once = np.bincount(self.at[self.times == 1], minlength=len(self.keys))
         for i in np.flatnonzero(np.diff(self.key_edges)):
             part, many = slice(self.key_edges[i], self.key_edges[i + 1]), self.many[self.many_edges[i] : self.many_edges[i + 1]]
-            yield int(i), self.keys[part], once[part], (self.at[many] - part.start), self.times[many], self.dishes[self.own[many]]
+            yield int(i), self.keys[part], once[part], (self.at[many] - part.start), self.times[many], self.dishes[self.own[many]], more[part]
 
     def settle(self, chances: np.ndarray, seats: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """From the probabilities of `keys` and the tables of `many`: sorted pairs, the log10 of their gain, and the log10 of each context's back-off.
+        """From the probabilities of `keys` and the tables of `guests` and `many`: sorted pairs, the log10 of their gain, and the log10 of each context's back-off.
 
         A word's probability after a context is that after the class, times the back-off, times the gain if the pair was seen.
         """
         tables = np.ones(len(self.words))
-        tables[self.many] = seats
+        tables[np.concatenate((self.guests, self.many))] = seats
         rooms = STRENGTH + discount * np.bincount(self.own, weights=tables, minlength=len(self.contexts))
         customers = np.bincount(self.own, weights=self.times, minlength=len(self.contexts))
         gain = np.log10(1 + (self.times - discount * tables) / (rooms[self.own] * chances[self.at]))
@@ -365,44 +379,54 @@ def _pairs(table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return contexts.view(np.uint64), dishes, words.view(np.uint64)[at], times
 
 
-def count_cells(counts: DataFrame, n: int) -> DataFrame:
+def count_cells(counts: DataFrame, n: int, frequent: np.ndarray = np.empty(0, dtype=np.uint64)) -> DataFrame:
     """From the rows of count_pairs: for each bucket one row with the sorted (word, restaurant) keys of all texts and the customers that they send for sure, that
 
     is how often they occur in a numbered restaurant or after the start, and for classes how many pairs occur once. For pairs that occur more often: place of the key, times,
     and dishes of the context's restaurant. sources, source_keys and source_many: who sent how many keys (at source_at among the row's) and such pairs, in order.
+
+    Pairs of a frequent word that occur more than once may be many, so they stay in the bucket of their context, as guests: number of word and class, times and dishes.
+    more: by key, how often its guests elsewhere occur.
     """
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 bucket = batch.column("bucket")[i].as_py()
-                yield _row(_LETTERS, bucket=bucket, source=-1, keys=_items(batch, "keys", i), counts=_items(batch, "counts", i))
-                for to, keys, once, many, times, dishes in Pairs(*_pairs(batch, i), n).letters():
-                    yield _row(_LETTERS, bucket=to, source=bucket, keys=keys, counts=once, many=many, times=times, dishes=dishes)
+                own = Pairs(*_pairs(batch, i), n, frequent)
+                keys, guests = _items(batch, "keys", i), {"guests": own.guest_cells, "guest_times": own.times[own.guests], "guest_dishes": own.dishes[own.own[own.guests]]}
+                yield _row(_LETTERS, bucket=bucket, source=-1, keys=keys, counts=_items(batch, "counts", i), more=np.zeros(len(keys)), **guests)
+                for to, keys, once, many, times, dishes, more in own.letters():
+                    yield _row(_LETTERS, bucket=to, source=bucket, keys=keys, counts=once, many=many, times=times, dishes=dishes, more=more)
 
     def merge(group: pa.Table) -> pa.Table:
+        give_up()
         group = group.sort_by("source")
         keys, many = _all(group, "keys"), _all(group, "many")
         sizes, others = np.array([len(x) for x in keys]), np.array([len(x) for x in many])
         keys, at = np.unique(np.concatenate(keys).view(np.uint64), return_inverse=True)
-        counts = np.bincount(at, weights=joined(_all(group, "counts")), minlength=len(keys)).astype(np.int64)
+        counts, more = (np.bincount(at, weights=joined(_all(group, x)), minlength=len(keys)).astype(np.int64) for x in ("counts", "more"))
+        guests = {x: joined(_all(group, x)) for x in ("guests", "guest_times", "guest_dishes")}
         many = at[np.concatenate(many) + np.repeat(np.cumsum(sizes) - sizes, others)]
         sources = group.column("source").to_numpy()
         sent = sources >= 0
         row = _row(
             f"{_OF_WORDS}, {_SENT}", bucket=group.column("bucket")[0].as_py(), keys=keys, counts=counts, many=many, times=joined(_all(group, "times")),
-            dishes=joined(_all(group, "dishes")), sources=sources[sent], source_keys=sizes[sent], source_at=at[sizes[~sent].sum() :], source_many=others[sent],
+            dishes=joined(_all(group, "dishes")), sources=sources[sent], source_keys=sizes[sent], source_at=at[sizes[~sent].sum() :], source_many=others[sent], more=more, **guests,
         )
         return pa.Table.from_batches([row])
 
-    return counts.mapInArrow(run, _LETTERS).groupBy("bucket").applyInArrow(merge, f"{_OF_WORDS}, {_SENT}")
+    return counts.mapInArrow(lean(run), _LETTERS).groupBy("bucket").applyInArrow(merge, f"{_OF_WORDS}, {_SENT}")
 
 
 class Words:
     """One bucket's words: their cells in the contexts' restaurants, in the classes' and in the root."""
 
-    def __init__(self, bucket: int, keys: np.ndarray, counts: np.ndarray, contexts: Contexts, many=(np.empty(0, dtype=np.intp), np.empty(0), np.empty(0))):
-        """many: of pairs that occur more than once and whose context isn't numbered, place among the keys, times, and dishes of the context's restaurant."""
+    def __init__(self, bucket: int, keys: np.ndarray, counts: np.ndarray, contexts: Contexts, many=(np.empty(0, dtype=np.intp), np.empty(0), np.empty(0)), more=None, *guests):
+        """many: of pairs that occur more than once and whose context isn't numbered, place among the keys, times, and dishes of the context's restaurant.
+
+        more and guests: as count_cells gives them.
+        """
         self.bucket = bucket
         place = (keys & _PLACE).astype(np.intp)
         cls = contexts.parent[place]
@@ -412,7 +436,11 @@ class Words:
         at, self.times, self.dishes = many
         self.many = up[at]  # pair -> class cell
         self.states: list[bytes] = []  # kept samples, the current one last
-        self.counts = np.bincount(self.top[up], weights=counts, minlength=len(self.words)) + np.bincount(self.top[self.many], weights=self.times, minlength=len(self.words))
+        self.guests, self.guest_times, self.guest_dishes = guests or (np.empty(0, dtype=np.intp), np.empty(0), np.empty(0))
+        frequent, has = _find(contexts.frequent, self.up_keys & _WORD)
+        self.hosts = np.flatnonzero(has)  # class cells of frequent words, with their number
+        self.host_cells = frequent[self.hosts] * CLASSES + self.cls[self.hosts]
+        self.counts = np.bincount(self.top[up], weights=counts if more is None else counts + more, minlength=len(self.words)) + np.bincount(self.top[self.many], weights=self.times, minlength=len(self.words))
         deep = place >= CLASSES
         self.keys, self.customers, self.place, self.up = keys[deep], counts[deep], place[deep], up[deep]  # cells of contexts; context cell -> class cell
         self.direct = np.bincount(up[~deep], weights=counts[~deep], minlength=len(self.up_keys))  # customers of classes that are there in any seating
@@ -452,21 +480,24 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.ran
 class State:
     """Seating of a bucket's words, and the predictive probabilities it gives."""
 
-    def __init__(self, w: Words, kept: bytes | None = None):
-        """kept: from a state's keep(); else every cell has one table."""
-        self.w = w
-        sizes = [len(w.words), len(w.up_keys), len(w.keys), len(w.many)]
+    def __init__(self, w: Words, kept: bytes | None = None, sent: np.ndarray | None = None):
+        """kept: from a state's keep(); else every cell has one table. sent: customers that guests everywhere send to the class cells of frequent words."""
+        self.w, self.sent = w, sent
+        sizes = [len(w.words), len(w.up_keys), len(w.keys), len(w.many), len(w.guests)]
         tables = unplain(kept).astype(np.float64) if kept else np.ones(sum(sizes))
-        self.t0, self.t1, self.t2, self.t3 = np.split(tables, np.cumsum(sizes[:-1]))
+        self.t0, self.t1, self.t2, self.t3, self.t4 = np.split(tables, np.cumsum(sizes[:-1]))
         self._up()
         self._top()
 
     def keep(self) -> bytes:
-        return plain(np.concatenate((self.t0, self.t1, self.t2, self.t3)))
+        return plain(np.concatenate((self.t0, self.t1, self.t2, self.t3, self.t4)))
 
     def _up(self):
         n = len(self.w.up_keys)
         self.c1 = self.w.direct + np.bincount(self.w.up, weights=self.t2, minlength=n) + np.bincount(self.w.many, weights=self.t3, minlength=n)
+        if self.sent is not None:
+            self.c1 = self.c1.astype(np.float64)  # an empty count has integers
+            self.c1[self.w.hosts] += self.sent[self.w.host_cells]
 
     def _top(self):
         self.c0 = np.bincount(self.w.top, weights=self.t1, minlength=len(self.w.words))
@@ -479,12 +510,16 @@ class State:
         s2 = (self.w.customers - l2.discount * self.t2) * l2.share[self.w.place]
         return root, s1, s2
 
-    def sweep(self, levels: list[Level], base: float, rng: np.random.Generator) -> None:
+    def sweep(self, levels: list[Level], base: float, rng: np.random.Generator, sent: np.ndarray | None = None, chances: np.ndarray | None = None) -> None:
+        """sent: as above, from now on; chances: of the class cells of frequent words, for guests, who keep their tables without."""
         l0, l1, l2 = levels
         root, s1, _ = self.probabilities(levels, base)
         in_class = s1 + l1.back[self.w.cls] * root[self.w.top]
         self.t2 = seat(self.w.customers, l2.open[self.w.place] * in_class[self.w.up], l2.discount, rng)
         self.t3 = seat(self.w.times, (STRENGTH + l2.discount * self.w.dishes) * in_class[self.w.many], l2.discount, rng)
+        if chances is not None:
+            self.t4 = seat(self.w.guest_times, (STRENGTH + l2.discount * self.w.guest_dishes) * chances[self.w.guests], l2.discount, rng)
+        self.sent, self.in_class = sent, in_class
         self._up()
         self.t1 = seat(self.c1, l1.open[self.w.cls] * root[self.w.top], l1.discount, rng)
         self._top()
@@ -497,6 +532,13 @@ class State:
         return np.concatenate(([self.t0.sum()], *by_class, np.bincount(w.cls[w.many], weights=self.t3, minlength=CLASSES)))
 
 
+    def of_frequent(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """What guests send, and the chances that the last sweep saw in class cells of frequent words here."""
+        chances = np.zeros(size)
+        chances[self.w.host_cells] = self.in_class[self.w.hosts]
+        return np.bincount(self.w.guests, weights=self.t4, minlength=size), chances
+
+
 class Model:
     """Corpus totals and the history of table counts; a sweep's random numbers depend on it and the bucket only, so it gives the same wherever it runs."""
 
@@ -506,35 +548,45 @@ class Model:
         self.direct, self.customers = direct, customers
         self.base = 1 / (types + 1)
         self.history: list[np.ndarray] = []
+        #: Of the class cells of frequent words: the customers from guests in each state, and their chances as each sweep found them.
+        self.sent: list[np.ndarray] = []
+        self.chances: list[np.ndarray] = []
+
+    def sent_to(self, i: int) -> np.ndarray | None:
+        """What counts as sent in state i: from guests as the sweep before found them, since they sit elsewhere."""
+        return self.sent[max(i - 1, 0)] if self.sent else None
 
     def levels(self, i: int) -> list[Level]:
         t0, t1, t2, t3 = np.split(self.history[i], [1, 1 + CLASSES, 1 + CLASSES + len(self.contexts)])
         in_classes = self.direct + np.bincount(self.contexts.parent, weights=t2, minlength=CLASSES) + t3
+        if self.sent:
+            in_classes += self.sent_to(i).reshape(-1, CLASSES).sum(axis=0)
         return [Level(t1.sum(keepdims=True), t0, self.discounts[0]), Level(in_classes, t1, self.discounts[1]), Level(self.customers, t2, self.discounts[2])]
 
     def replay(self, w: Words, sweeps: int):
         """The bucket's state at first and after each sweep; sweep i needs the tables of the state before it, history[i]."""
-        state = State(w)
+        state = State(w, None, self.sent_to(0))
         yield state
         for i in range(sweeps):
             self.sweep(state, i)
             yield state
 
     def sweep(self, state: State, i: int) -> None:
-        state.sweep(self.levels(i), self.base, np.random.default_rng([state.w.bucket, i]))
+        chances = self.chances[i - 1] if i and self.chances else None
+        state.sweep(self.levels(i), self.base, np.random.default_rng([state.w.bucket, i]), self.sent_to(i + 1), chances)
 
     def samples(self, w: Words):
         """The states after the first sweep, each with its number: those that were kept, or else sampled again."""
         if w.states:
             begin = len(self.history) - len(w.states)
-            yield from ((begin + i, State(w, kept)) for i, kept in enumerate(w.states))
+            yield from ((begin + i, State(w, kept, self.sent_to(begin + i))) for i, kept in enumerate(w.states))
         else:
             yield from ((i, state) for i, state in enumerate(self.replay(w, len(self.history) - 1)) if i > BURN_IN)
 
     def predict(self, w: Words, queries: np.ndarray, seats: np.ndarray | None = None) -> np.ndarray:
         """Averaged predictive probability of sorted or unsorted keys, words that aren't in the bucket's training counts included.
 
-        seats: takes the averaged tables of the pairs w.many.
+        seats: takes the averaged tables of the pairs w.many and w.guests.
         """
         word, place = queries & _WORD, (queries & _PLACE).astype(np.intp)
         cls, deep = self.contexts.parent[place], place >= CLASSES
@@ -552,7 +604,7 @@ class Model:
             out += np.where(deep, pick(s2, at2, has2) + l2.back[place] * p, p)
             n += 1
             if seats is not None:
-                seats += (state.t3 - seats) / n
+                seats += (np.concatenate((state.t3, state.t4)) - seats) / n
         return out / n
 
 
@@ -566,30 +618,31 @@ def _find(among: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _each_bucket(batches, contexts: Contexts):
     for batch in batches:
         for i in range(batch.num_rows):
-            keys, counts, *many = (_items(batch, x, i) for x in ("keys", "counts", "many", "times", "dishes"))
-            w = Words(batch.column("bucket")[i].as_py(), keys.view(np.uint64), counts, contexts, many)
+            keys, counts, *rest = (_items(batch, x, i) for x, _ in _kinds(_OF_WORDS)[1:])
+            w = Words(batch.column("bucket")[i].as_py(), keys.view(np.uint64), counts, contexts, rest[:3], *rest[3:])
             if "states" in batch.schema.names:
                 w.states = batch.column("states")[i].as_py() or []
             yield w
 
 
 def replies(cells: DataFrame, model: Model) -> DataFrame:
-    """To each bucket of contexts, in the order of its letters: the averaged probabilities of the keys, and tables of the pairs that occur more than once."""
+    """To each bucket of contexts, its guests first and then in the order of its letters: averaged probabilities of keys, and tables of pairs that occur more than once."""
 
     def run(batches):
         for batch in batches:
             for i, w in enumerate(_each_bucket([batch], model.contexts)):
                 keys = _items(batch, "keys", i).view(np.uint64)
                 in_class = (keys & _PLACE) < CLASSES
-                chances, seats = np.zeros(len(keys)), np.zeros(len(w.many))
+                chances, seats = np.zeros(len(keys)), np.zeros(len(w.many) + len(w.guests))
                 chances[in_class] = model.predict(w, keys[in_class], seats)
                 sources, sizes, at, others = (_items(batch, x, i) for x in ("sources", "source_keys", "source_at", "source_many"))
+                yield _row(_REPLIES, bucket=w.bucket, source=-1, seats=seats[len(w.many) :])
                 key_ends, many_ends = np.cumsum(sizes), np.cumsum(others)
                 for j, to in enumerate(sources):
                     mine = at[key_ends[j] - sizes[j] : key_ends[j]]
                     yield _row(_REPLIES, bucket=int(to), source=w.bucket, chances=chances[mine], seats=seats[many_ends[j] - others[j] : many_ends[j]])
 
-    return cells.mapInArrow(run, _REPLIES)
+    return cells.mapInArrow(lean(run), _REPLIES)
 
 
 def train(cells: DataFrame, contexts: Contexts, sweeps: int = SWEEPS) -> tuple[Model, DataFrame]:
@@ -597,7 +650,7 @@ def train(cells: DataFrame, contexts: Contexts, sweeps: int = SWEEPS) -> tuple[M
 
     cells: as count_cells gives them, written; each sweep writes them anew with its state and removes those before.
     """
-    places, size = len(contexts), 1 + 2 * CLASSES + len(contexts)
+    places, size, cells_of_frequent = len(contexts), 1 + 2 * CLASSES + len(contexts), len(contexts.frequent) * CLASSES
     of_words, seated = [name for name, _ in _kinds(_OF_WORDS)], f"{_OF_WORDS}, {_SENT}, {_SEATED}"
 
     def added(rows: DataFrame, vectors, length: int) -> np.ndarray:
@@ -617,31 +670,35 @@ def train(cells: DataFrame, contexts: Contexts, sweeps: int = SWEEPS) -> tuple[M
 
     def totals(w: Words) -> np.ndarray:
         state = State(w)
-        once_and_twice = np.array([(x == i).sum() for x in (state.c0, state.c1, w.customers) for i in (1, 2)]) + [0, 0, 0, 0, w.once, (w.times == 2).sum()]
+        once_and_twice = np.array([(x == i).sum() for x in (state.c0, state.c1, w.customers) for i in (1, 2)]) + [0, 0, 0, 0, w.once, (w.times == 2).sum() + (w.guest_times == 2).sum()]
         direct = np.bincount(w.cls, weights=w.direct, minlength=CLASSES)
-        return np.concatenate(([w.counts.sum(), len(w.words), *once_and_twice], direct, np.bincount(w.place, weights=w.customers, minlength=places), state.tables(places)))
+        return np.concatenate(([w.counts.sum(), len(w.words), *once_and_twice], direct, np.bincount(w.place, weights=w.customers, minlength=places), state.tables(places), np.bincount(w.guests, minlength=cells_of_frequent)))
 
-    head, direct, customers, first = np.split(
-        added(cells.select(*of_words), lambda batches: map(totals, _each_bucket(batches, contexts)), 8 + CLASSES + places + size), np.cumsum([8, CLASSES, places])
+    head, direct, customers, first, sent = np.split(
+        added(cells.select(*of_words), lambda batches: map(totals, _each_bucket(batches, contexts)), 8 + CLASSES + places + size + cells_of_frequent),
+        np.cumsum([8, CLASSES, places, size]),
     )
     discounts = tuple(float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95)) for one, two in head[2:].reshape(3, 2))
     model = Model(int(head[0]), int(head[1]), direct, customers, discounts, contexts)
     model.history.append(first)
+    model.sent.append(sent)
     for i in range(sweeps):
 
         def step(batches, i=i):
             for batch in batches:
                 for j, w in enumerate(_each_bucket([batch], contexts)):
-                    state = State(w, w.states[-1] if w.states else None)
+                    state = State(w, w.states[-1] if w.states else None, model.sent_to(i))
                     model.sweep(state, i)
                     kept = w.states if i > BURN_IN else []
-                    values = {"states": pa.array([[*kept, state.keep()]], pa.list_(pa.binary())), "tables": pa.array([floats(state.tables(places))], pa.binary())}
+                    values = {"states": pa.array([[*kept, state.keep()]], pa.list_(pa.binary())), "tables": pa.array([floats(np.concatenate((state.tables(places), *state.of_frequent(cells_of_frequent))))], pa.binary())}
                     names = [name for name, _ in _kinds(seated)]
                     yield pa.RecordBatch.from_arrays([values[x] if x in values else batch.column(x).slice(j, 1) for x in names], names=names)
 
-        before, cells = cells, written(cells.mapInArrow(step, seated), "lm-seated")
+        before, cells = cells, written(cells.mapInArrow(lean(step), seated), "lm-seated")
         drop_written(before)
-        model.history.append(added(cells.select("tables"), lambda batches: (x for b in batches for x in _all(b, "tables")), size))
+        found = added(cells.select("tables"), lambda batches: (x for b in batches for x in _all(b, "tables")), size + 2 * cells_of_frequent)
+        for past, now in zip((model.history, model.sent, model.chances), np.split(found, np.cumsum([size, cells_of_frequent]))):
+            past.append(now)
     return model, cells
 
 
@@ -691,7 +748,7 @@ def score(docs: DataFrame, training: DataFrame, sweeps: int = SWEEPS) -> DataFra
     contexts = find_contexts(training)
     counts = written(count_pairs(training, n, contexts), "lm-pairs")
     release(spark)
-    cells = written(count_cells(counts, n), "lm-cells")
+    cells = written(count_cells(counts, n, contexts.frequent), "lm-cells")
     release(spark)
     model, cells = train(cells, contexts, sweeps)
     release(spark)
@@ -741,6 +798,7 @@ def score(docs: DataFrame, training: DataFrame, sweeps: int = SWEEPS) -> DataFra
             yield from chunk(rows, ids, texts)
 
     def answer(known: pa.Table, asked: pa.Table):
+        give_up()
         if not asked.num_rows:
             return _empty()
         bucket = asked.column("bucket")[0].as_py()
@@ -751,7 +809,7 @@ def score(docs: DataFrame, training: DataFrame, sweeps: int = SWEEPS) -> DataFra
             kind = [known.filter(pc.is_valid(known.column(c))) for c in ("counts", "contexts", "source")]
             w = next(_each_bucket([kind[0]], contexts), w)
             if kind[1].num_rows:
-                restaurants = Pairs(*_pairs(kind[1], 0), n)
+                restaurants = Pairs(*_pairs(kind[1], 0), n, contexts.frequent)
                 pairs, gain, back_off = restaurants.settle(joined(_all(kind[2], "chances"), float), joined(_all(kind[2], "seats"), float), model.discounts[2])
                 before = restaurants.contexts & _WORD
         out = []
